@@ -1,13 +1,14 @@
 """MinHash near-duplicates by a multi-index Hamming join (operator 2).
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Its signature is 64 MinHash
+A document's set holds the 64-bit hashes of its distinct word shingles. Its signature is 112 MinHash
 values of 16 bits; the distance of two signatures is the number of places in which they differ.
 
-*Pigeonhole.* The 64 places are cut into 12 chunks of five or six. Two signatures that differ in at
-most 21 places agree, but for one place at most, in at least two chunks (12 - 21 // 2). So each
-chunk is indexed once for every place that may be wrong, with that place left out: 64 keys a
-signature, and every pair under the distance meets under a key. At the linking threshold of 0.85
-the chance that a pair shares fewer than two such chunks is under 1e-6.
+*Pigeonhole.* The 112 places are cut into 14 chunks of eight. Two signatures that differ in at most 27
+places agree in some chunk but for one place at most (27 // 14). So each chunk is indexed once for
+every place that may be wrong, with that place left out: 112 keys a signature, and every pair under
+the distance meets under a key. Beyond that distance most pairs still meet: at the linking threshold of
+0.85 one in three million pairs has no such chunk, and one in a hundred thousand fewer than two. Texts
+that are merely alike don't meet: at a similarity of 0.2, one pair in seven hundred does.
 
 *No all-pairs.* Texts with equal sets are one representative. Under a key, all others are first held
 against the smallest representative only; confirmed links form classes. A key whose members then
@@ -35,10 +36,9 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-PLACES = 64
-#: First places of the chunks: four of six places, then eight of five.
-CHUNKS = np.array([0, 6, 12, 18, 24, 29, 34, 39, 44, 49, 54, 59])
-CHUNK_OF = np.searchsorted(CHUNKS, np.arange(PLACES), side="right") - 1
+PLACES, CHUNK = 112, 8
+CHUNKS = np.arange(0, PLACES, CHUNK)
+CHUNK_OF = np.arange(PLACES) // CHUNK
 #: Members up to which a key's pairs are tested directly.
 FEW = 16
 
@@ -139,17 +139,27 @@ def _places(col: pa.Array) -> np.ndarray:
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """The 64 keys of each signature: key i is the chunk of place i without that place."""
+    """The keys of each signature: key i is the chunk of place i without that place."""
     part = (sig.astype(np.uint64) + np.uint64(1)) * _KEY
     total = np.add.reduceat(part, CHUNKS, axis=1)[:, CHUNK_OF]
     return words.mix((total - part) ^ _SALT)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            keys = chunk_keys(_places(b.column("sig")))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), PLACES))], names=["key", "rep"])
+def _index(bits=None):
+    """Keys of the representatives; with a filter, those that may be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = chunk_keys(_places(b.column("sig"))).ravel()
+            reps = np.repeat(b.column("rep").to_numpy(), PLACES)
+            if bits is not None:
+                hit = common.in_filter(bits.value, (keys & np.uint64(common.FILTER_BITS - 1)).astype(np.int64) + 1)
+                keys, reps = keys[hit], reps[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(reps)], names=["key", "rep"])
+
+    return run
 
 
 def _second_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +250,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100)
     named = member.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = common.store(member.join(named, "set_id").where("doc_id = rep").select("rep", "set_id", "n", "sig").dropDuplicates(["set_id"]), "reps")
 
-    keys = reps.select("rep", "sig").mapInArrow(_index, "key long, rep long")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead")).where("members > 1")
-    met = common.store(keys.join(shared, "key"), "met")
+    keys = reps.select("rep", "sig").mapInArrow(_index(), "key long, rep long")
+    shared = common.store(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead")).where("members > 1"), "shared")
+    bits = spark.sparkContext.broadcast(common.id_filter(shared, slot=common.hash_slot("key")))
+    again = reps.select("rep", "sig").mapInArrow(_index(bits), "key long, rep long")
+    met = common.store(again.join(shared, "key"), "met")
+    common.discard(shared)
     stars = met.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     first = _links(stars, reps, docs, k, num, den)
 
