@@ -7,15 +7,16 @@ values of 16 bits; the distance of two signatures is the number of places in whi
 places agree in some chunk but for one place at most (27 // 14). So each chunk is indexed once for
 every place that may be wrong, with that place left out: 112 keys a signature, and every pair under
 the distance meets under a key. Beyond that distance most pairs still meet: at the linking threshold of
-0.85 one in three million pairs has no such chunk, and one in a hundred thousand fewer than two. Texts
+0.85 one in three million pairs has no such chunk. Texts
 that are merely alike don't meet: at a similarity of 0.2, one pair in seven hundred does.
 
 *No all-pairs.* Texts with equal sets are one representative. Under a key, all others are first held
-against the smallest representative only; confirmed links form classes. A key whose members then
-still fall in several classes is opened again: if it has few members, its pairs across classes are
-tested; if many, its members are indexed anew under pairs of chunks (the second agreeing chunk
-above), and pairs across classes are tested under those. Copies of one text or of one template
-therefore cost one link each, and nothing is capped.
+against the smallest representative only; confirmed links form classes. Keys whose members then still
+fall in several classes are opened: the texts that such keys connect form a group, dealt into blocks of
+about BLOCK texts, and each pair of blocks counts its shared shingles as a product of two small
+matrices. A text of whose shingles too few occur in any other there is dropped first. Only links that
+join two classes come out, so copies of one text or one template cost a link each, no pair becomes a
+row, and nothing is capped.
 
 *Confirmation.* Candidates whose sizes or signatures rule a link out are dropped; the rest are
 decided on their full sets, with integers: ``den * |A & B| >= num * |A | B|``.
@@ -39,8 +40,8 @@ from . import common, words
 PLACES, CHUNK = 112, 8
 CHUNKS = np.arange(0, PLACES, CHUNK)
 CHUNK_OF = np.arange(PLACES) // CHUNK
-#: Members up to which a key's pairs are tested directly.
-FEW = 16
+#: Texts of a block, and shingles that are counted at a time.
+BLOCK, COLUMNS = 512, 4096
 
 _rng = np.random.default_rng(20240229)
 _WORD = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,21 +163,6 @@ def _index(bits=None):
     return run
 
 
-def _second_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A member of a large key goes under that key joined with each key of the later chunks."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = chunk_keys(_places(b.column("sig")))
-        own = b.column("key").to_numpy().view(np.uint64)
-        place = np.argmax(keys == own[:, None], axis=1)
-        row, col = np.nonzero(CHUNK_OF[None, :] > CHUNK_OF[place][:, None])
-        joint = words.mix(own[row] * _WORD[0] + keys[row, col])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(joint.view(np.int64)), pa.array(b.column("rep").to_numpy()[row]), pa.array(b.column("comp").to_numpy()[row])], names=["key", "rep", "comp"]
-        )
-
-
 def _near(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,25 +206,108 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _sets(need: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The sets of some representatives (rep, set_id), as a stored table rep, members. Texts are
+    read again; a fixed-size filter passes the wanted ones."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(common.id_filter(need, "rep"))
+    scan = docs.where("doc_id is not null").select("doc_id", "text", common.filter_slot("doc_id").alias("slot"))
+    found = scan.mapInArrow(_wanted(k, bits), "rep long, set_id long, members binary")
+    return common.store(found.join(need, ["rep", "set_id"], "left_semi").dropDuplicates(["rep"]).select("rep", "members"), "sets")
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Of candidate pairs (a, b) of representatives, a stored table of those that are links."""
-    spark = docs.sparkSession
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     near = common.store(met.select("a", "b", "sig_a", "sig_b").mapInArrow(_near(max_distance(num, den)), "a long, b long"), "near")
-    need = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "set_id"), "rep")
-    bits = spark.sparkContext.broadcast(common.id_filter(need, "rep"))
-    if not bits.value.any():
-        return near
-    scan = docs.where("doc_id is not null").select("doc_id", "text", common.filter_slot("doc_id").alias("slot"))
-    found = scan.mapInArrow(_wanted(k, bits), "rep long, set_id long, members binary")
-    sets = common.store(found.join(need, ["rep", "set_id"], "left_semi").dropDuplicates(["rep"]), "sets")
+    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "set_id"), "rep"), docs, k)
     both = near.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
     out = common.store(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "a long, b long"), "links")
     common.discard(near, sets)
     return out
 
 
+def block_links(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of classes joined by a link between a set of ``left`` and one of ``right`` (masks);
+    as many as it takes to join them."""
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common_ = count[col] > 1
+    owner, col = owner[common_], col[common_]
+    may = den * np.bincount(owner, minlength=len(sets)) >= num * n
+    rows = [np.flatnonzero(may & side) for side in (left, right)]
+    if not len(rows[0]) or not len(rows[1]):
+        return []
+    keep = may[owner]
+    owner, (_, col) = owner[keep], np.unique(col[keep], return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    shared = np.zeros((len(rows[0]), len(rows[1])), dtype=np.float64)
+    at = np.zeros(len(sets), dtype=np.int64)
+    same = np.array_equal(*rows)
+    for lo in range(0, int(col[-1]) + 1, COLUMNS) if len(col) else ():
+        a, z = np.searchsorted(col, [lo, lo + COLUMNS])
+        parts = []
+        for r in rows[: 1 if same else 2]:
+            at[:] = -1
+            at[r] = np.arange(len(r))
+            x = at[owner[a:z]]
+            m = np.zeros((len(r), min(COLUMNS, int(col[-1]) + 1 - lo)), dtype=np.float32)
+            m[x[x >= 0], col[a:z][x >= 0] - lo] = 1
+            parts.append(m)
+        shared += parts[0] @ parts[-1].T
+    union = n[rows[0]][:, None] + n[rows[1]][None, :] - shared
+    x, y = np.nonzero((den * shared >= num * union) & (comp[rows[0]][:, None] != comp[rows[1]][None, :]))
+    if not len(x):
+        return []
+    ends = np.sort(np.stack((comp[rows[0]][x], comp[rows[1]][y]), axis=1), axis=1)
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out = []
+    for a, b in np.unique(ends, axis=0).tolist():
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            parent[ra] = rb
+            out.append((a, b))
+    return out
+
+
+def _blocks(num: int, den: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        block = t.column("block").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("members")]
+        found = block_links(sets, t.column("comp").to_numpy(), block == i, block == j, num, den)
+        return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return run
+
+
+def _links_between_classes(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``open_``: key, lead, rep, comp. A stored table of links between classes (a, b)."""
+    groups = common.components(open_.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+    texts = open_.select("rep", "comp").distinct().join(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")), "rep")
+    blocks = groups.groupBy(F.col("component").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = texts.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = common.store(dealt, "dealt")
+    sets = _sets(dealt.select("rep").join(reps.select("rep", "set_id"), "rep"), docs, k)
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp").join(sets, "rep")
+    out = common.store(each.groupBy("grp", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"), "links")
+    common.discard(dealt, sets)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> DataFrame:
     """Classes of near-duplicates among ``docs`` (doc_id, text): a row per row with doc_id,
     n_shingles (set size), component_id (the smallest doc_id reachable over links) and kept."""
@@ -265,24 +334,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100)
     same = common.store(own.join(many, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b"), "same")
 
     classes = common.components(first.unionByName(same))
-    open_ = met.where("members > 2").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "members", "lead", F.coalesce("component", "rep").alias("comp"))
+    comp = classes.select(F.col("id").alias("rep"), F.col("component"))
+    open_ = met.where("members > 2").join(comp, "rep", "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("comp"))
     split = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
     open_ = common.store(open_.join(split, "key"), "open")
-
-    def across(rows: DataFrame) -> DataFrame:
-        r = rows.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-        return rows.select("key", F.col("rep").alias("a"), "comp").join(r, "key").where("a < b and comp != comp_b").select("a", "b")
-
-    few = across(open_.where(f"members <= {FEW}").select("key", "rep", "comp"))
-    large = open_.where(f"members > {FEW}").join(reps.select("rep", "sig"), "rep").select("key", "rep", "comp", "sig")
-    second = large.mapInArrow(_second_index, "key long, rep long, comp long")
-    several = second.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    more = across(second.join(several, "key"))
-    rest = few.unionByName(more).distinct().join(stars, ["a", "b"], "left_anti")
-    last = _links(common.store(rest, "rest"), reps, docs, k, num, den)
-    links = first.unionByName(last)
-    if last.limit(1).count():
-        classes = common.components(links.unionByName(same))
+    if not open_.isEmpty():
+        more = _links_between_classes(open_, reps, docs, k, num, den)
+        if not more.isEmpty():
+            classes = common.components(first.unionByName(same).unionByName(more))
+    common.discard(met, open_)
 
     of_set = named.join(classes, named["rep"] == classes["id"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(of_set, "set_id", "left")
