@@ -1,0 +1 @@
+"""Proofreading of document collections as Spark DataFrames."""
