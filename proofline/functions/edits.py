@@ -17,11 +17,18 @@ from .text import Text, col, strip, word_count, words
 _MARKS_ONLY = r"^(?:[!-/:-@\[-`{-~]|(?U:\s))*$"
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lexicon_violation(original: Text, corrected: Text, lexicon: tuple[str, ...]) -> Column:
     """A listed name is in the original and no longer in the corrected text."""
     a, b = F.lower(col(original)), F.lower(col(corrected))
-    names = F.array(*[F.lit(w.lower()) for w in lexicon]).cast("array<string>")
-    return F.exists(names, lambda w: F.contains(a, w) & ~F.contains(b, w))
+    out = F.lit(False)
+    for w in lexicon:
+        out = out | (F.contains(a, F.lit(w.lower())) & ~F.contains(b, F.lit(w.lower())))
+    return out
 
 
 def length_delta(original: Text, corrected: Text) -> Column:
@@ -29,48 +36,61 @@ def length_delta(original: Text, corrected: Text) -> Column:
     return F.abs(F.length(col(corrected)) - n) / F.greatest(F.lit(1), n)
 
 
+def _distance(a: Column, b: Column) -> Column:
+    """Of two word lists. Each distinct word becomes one character, so the built-in distance of
+    strings does it (for up to 35,000 distinct words)."""
+    letter = lambda known: lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4DFF), 4, "0")), "UTF-16BE")
+    coded = lambda ws, known: F.array_join(F.transform(ws, letter(known)), "")
+    return _bound(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(coded(a, known), coded(b, known)))
+
+
 def word_distance(original: Text, corrected: Text) -> Column:
-    """Levenshtein distance of two word lists. Each distinct word becomes one character, so the
-    built-in distance of strings does it (for up to 35,000 distinct words)."""
-    a, b = words(original), words(corrected)
-    known = F.array_distinct(F.concat(a, b))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4DFF), 4, "0")), "UTF-16BE")
-    coded = lambda ws: F.array_join(F.transform(ws, letter), "")
-    return F.levenshtein(coded(a), coded(b))
+    return _bound(F.struct(words(original).alias("a"), words(corrected).alias("b")), lambda x: _distance(x["a"], x["b"]))
 
 
 def word_edit_ratio(original: Text, corrected: Text) -> Column:
     return word_distance(original, corrected) / F.greatest(F.lit(1), word_count(original))
 
 
-def repeats_itself(corrected: Text) -> Column:
-    """A word is followed by one of one or two letters that starts or ends with its last letter."""
-    w = F.transform(words(corrected), F.lower)
-
+def _repeats(w: Column) -> Column:
     def pair(i: Column) -> Column:
-        a, b = F.get(w, i), F.get(w, i + 1)
-        last = F.right(a, F.lit(1))
-        return (F.length(a) >= 2) & (F.length(b) <= 2) & (F.startswith(b, last) | F.endswith(b, last))
+        return _bound(
+            F.struct(F.lower(F.get(w, i)).alias("a"), F.lower(F.get(w, i + 1)).alias("b")),
+            lambda x: (F.length(x["a"]) >= 2) & (F.length(x["b"]) <= 2) & (F.startswith(x["b"], F.right(x["a"], F.lit(1))) | F.endswith(x["b"], F.right(x["a"], F.lit(1)))),
+        )
 
     return F.when(F.size(w) < 2, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), pair))
 
 
+def repeats_itself(corrected: Text) -> Column:
+    """A word is followed by one of one or two letters that starts or ends with its last letter."""
+    return _bound(words(corrected), _repeats)
+
+
 def verdict(original: Text, corrected: Text, rules: SafetyRules = SafetyRules()) -> Column:
     """(is_safe, reason, edit_ratio, length_delta): the first rule that decides; measures that
     were not reached are 0."""
     a, b = col(original), col(corrected)
-    delta, ratio = length_delta(a, b), word_edit_ratio(a, b)
-    zero = F.lit(0.0)
+    delta, zero = length_delta(a, b), F.lit(0.0)
     as_ = lambda safe, reason, r, d: F.struct(F.lit(safe).alias("is_safe"), F.lit(reason).alias("reason"), r.alias("edit_ratio"), d.alias("length_delta"))
+
+    def by_words(x: Column) -> Column:
+        n = F.size(x["a"])
+        return F.when(n == 0, as_(False, "insertion_burst", zero, F.lit(1.0))).otherwise(
+            _bound(
+                _distance(x["a"], x["b"]) / F.greatest(F.lit(1), n),
+                lambda ratio: F.when((ratio > rules.edit_ratio) & (n > 3), as_(False, "edit_ratio_exceeded", ratio, delta))
+                .when(_repeats(x["b"]), as_(False, "repetition_hallucination", ratio, delta))
+                .otherwise(as_(True, "safe", ratio, delta)),
+            )
+        )
+
     return (
         F.when(a == b, as_(True, "equal", zero, zero))
         .when(lexicon_violation(a, b, rules.lexicon), as_(False, "whitelist_violation", zero, zero))
         .when(a == "", as_(False, "insertion_burst", zero, F.lit(1.0)))
         .when(delta > rules.length_delta_ratio, as_(False, "length_delta_exceeded", zero, delta))
-        .when(word_count(a) == 0, as_(False, "insertion_burst", zero, F.lit(1.0)))
-        .when((ratio > rules.edit_ratio) & (word_count(a) > 3), as_(False, "edit_ratio_exceeded", ratio, delta))
-        .when(repeats_itself(b), as_(False, "repetition_hallucination", ratio, delta))
-        .otherwise(as_(True, "safe", ratio, delta))
+        .otherwise(_bound(F.struct(words(a).alias("a"), words(b).alias("b")), by_words))
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +31,19 @@ class Result:
     changes: DataFrame
     stats: DataFrame
     cache: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Drop what is kept between the results; it can be computed again if an executor goes."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def proofread(paras: DataFrame, corrector: Corrector, config: Config = Config(), cache: DataFrame | None = None) -> Result:
     """``paras``: doc_id, para_idx, section, style, text, runs. Texts are composed (NFC) first, so that
     places in a block and in its paragraphs agree."""
     paras = B.drop_blank(paras.withColumn("text", nfc("text")))
-    placed = B.with_places(B.with_blocks(paras, config.engine.merge_mode)).cache()
+    placed = B.with_places(B.with_blocks(paras, config.engine.merge_mode)).persist(StorageLevel.DISK_ONLY)
     blocks = B.block_texts(placed)
 
     masked = blocks.withColumn("masked", protect(normalize_all("text")))
@@ -57,7 +64,7 @@ def proofread(paras: DataFrame, corrector: Corrector, config: Config = Config(),
         score = confidence("orig_text", "corr_text", F.lit(1), F.array("category"))
         judged = judged.withColumn("safe", F.col("safe") & (action(score, F.lit(config.engine.mode), config.thresholds) == "apply"))
     key = ["doc_id", "para_idx"]
-    judged = judged.join(placed.select(*key, F.col("section").alias("section_name")), key)
+    judged = judged.join(placed.select(*key, F.col("section").alias("section_name")), key).persist(StorageLevel.DISK_ONLY)
 
     part = F.struct(*[F.col(c) for c in ("edit_no", "type", "local_start", "local_end", "orig_text", "corr_text")])
     of_para = judged.where("safe").groupBy(*key).agg(F.collect_list(part).alias("edits"))
@@ -75,4 +82,4 @@ def proofread(paras: DataFrame, corrector: Corrector, config: Config = Config(),
     # The chunk an edit starts in, by block and place; for the count of changed chunks.
     all_ = all_.withColumn("chunk", F.concat_ws(":", "block_id", "para_idx"))
     stats = change_stats(blocks, chunks, all_)
-    return Result(out.select(*key, "text_out", "runs_out", "results"), all_, review_edits(all_), report_changes(all_), stats, new_cache)
+    return Result(out.select(*key, "text_out", "runs_out", "results"), all_, review_edits(all_), report_changes(all_), stats, new_cache, (placed, judged))
