@@ -12,11 +12,10 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 #: Rows of an Arrow batch where whole texts cross to Python: bounds a worker's memory.
 TEXT_BATCH = 256
@@ -135,9 +134,9 @@ def slot_udf(spark: SparkSession, bits: np.ndarray) -> Callable[[Column], Column
     """A boolean column: whether a slot is set in the (2 MB) filter."""
     shared = spark.sparkContext.broadcast(bits)
 
-    @pandas_udf("boolean")
-    def hit(slot: pd.Series) -> pd.Series:
-        return pd.Series(in_filter(shared.value, slot.to_numpy()))
+    @F.arrow_udf("boolean")
+    def hit(slot: pa.Array) -> pa.Array:
+        return pa.array(in_filter(shared.value, slot.to_numpy()))
 
     return hit
 

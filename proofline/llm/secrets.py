@@ -69,11 +69,15 @@ def scan_text(raw: bytes, rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]
     return sorted((a, i, b) for i, r in due for a, b in r.spans(text))
 
 
-def _scan(rules: tuple[Rule, ...]):
+def _scan(rules: tuple[Rule, ...], wanted=None, copied=None):
+    """Findings of each text; with filters, of those that are wanted and no copies."""
     found_type = pa.list_(pa.struct([("kind", pa.string()), ("version", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if wanted is not None:
+                slot = b.column("slot").to_numpy()
+                b = b.filter(pa.array(common.in_filter(wanted.value, slot) & ~common.in_filter(copied.value, slot)))
             for g in words.groups(b.column("text")):
                 blobs, found = [], []
                 raw = g.raw.tobytes()
@@ -123,13 +127,13 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     for places in due:
         mine = todo.where(F.col("rules") == F.array(*[F.lit(p) for p in places]))
         own = tuple(rules[p] for p in places)
-        wanted = common.slot_udf(spark, common.id_filter(mine, "blob"))
-        copied = common.slot_udf(spark, common.id_filter(mine.where("copies > 1"), "blob"))
-        marked = rows.withColumn("slot", common.filter_slot("blob")).withColumn("w", wanted("slot")).withColumn("c", copied("slot")).where("w")
-        once = marked.where("not c").select("blob", "text")
+        wanted, copied = common.id_filter(mine, "blob"), common.id_filter(mine.where("copies > 1"), "blob")
+        slots = rows.withColumn("slot", common.filter_slot("blob"))
+        share = spark.sparkContext.broadcast
+        once = slots.select("blob", "slot", "text").mapInArrow(_scan(own, share(wanted), share(copied)), FOUND)
         stands = mine.select("blob", F.col("path").alias("p"))
-        copies = marked.where("c").join(stands, "blob").where(F.col("path").eqNullSafe(F.col("p"))).select("blob", "text")
-        part = once.unionByName(copies).mapInArrow(_scan(own), FOUND)
+        copies = slots.where(common.slot_udf(spark, wanted & copied)("slot")).join(stands, "blob").where(F.col("path").eqNullSafe(F.col("p"))).select("blob", "text")
+        part = once.unionByName(copies.mapInArrow(_scan(own), FOUND))
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], FOUND)
