@@ -131,17 +131,20 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = S
     bits = spark.sparkContext.broadcast(common.id_filter(frequent, slot=common.hash_slot("leaf")))
     weight = kept.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("w"))
     shown = text.select("text").mapInArrow(_masked(bits), "leaf long, line long, masked string").groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
-    tokens = common.store(weight.join(shown, ["leaf", "line"]).select("leaf", "line", "w", F.posexplode(F.split("masked", " ")).alias("place", "token")), "tokens")
-    fixed = tokens.groupBy("leaf", "place", "token").agg(F.sum("w").alias("lines")).where(f"lines >= {min_docs}").select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    held = tokens.join(fixed, ["leaf", "place", "token"], "left").withColumn("stays", F.coalesce("fixed", F.lit(False)) | (F.col("token") == FIELD))
-    shape = F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("stays"), F.col("token")).otherwise(F.lit(FIELD)).alias("t")))), lambda p: p["t"])
-    made = held.groupBy("leaf", "line").agg(F.array_join(shape, " ").alias("template"), F.avg(F.col("stays").cast("int")).alias("share")).where(f"share >= {constant}")
+    distinct = common.store(weight.join(shown, ["leaf", "line"]).select("leaf", "line", "w", F.split("masked", " ").alias("tokens")), "distinct")
+    # The leading tokens are the leaf's, and fields stay fields: only the others are counted.
+    token = distinct.select("leaf", "line", "w", F.posexplode("tokens").alias("place", "token")).where((F.col("place") >= LEADING) & (F.col("token") != FIELD))
+    fixed = token.groupBy("leaf", "place", "token").agg(F.sum("w").alias("lines")).where(f"lines >= {min_docs}").select("leaf", "place", "token")
+    loose = token.join(fixed, ["leaf", "place", "token"], "left_anti").groupBy("leaf", "line").agg(F.collect_set("place").alias("loose"))
+    shape = F.transform("tokens", lambda t, i: F.when(F.array_contains("loose", i), F.lit(FIELD)).otherwise(t))
+    held = distinct.join(loose, ["leaf", "line"], "left").withColumn("loose", F.coalesce("loose", F.array().cast("array<int>")))
+    made = held.where(F.size("loose") <= (1 - constant) * F.size("tokens")).select("leaf", "line", F.array_join(shape, " ").alias("template"))
     of_line = kept.join(made.select("leaf", "line", "template", F.xxhash64("leaf", "template").alias("id")), ["leaf", "line"])
     of_line = common.store(of_line.select("doc_id", "key", "line_no", "rest", "template", "id"), "templated")
     in_docs = of_line.groupBy("id", "rest").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1)), "key").alias("docs"))
     known = in_docs.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("docs").alias("all")).where(f"n_docs >= {min_docs} and n_docs >= {spread} * all").select("id", "n_docs")
     out = common.store(of_line.join(known, "id").select("doc_id", "key", "line_no", "template", "n_docs"), "recurring")
-    common.discard(lines, frequent, kept, tokens, of_line)
+    common.discard(lines, frequent, kept, distinct, of_line)
     return out
 
 
