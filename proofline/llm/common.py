@@ -22,6 +22,9 @@ TEXT_BATCH = 256
 #: Bits of an id filter; the filter's size (2 MB) doesn't depend on the data.
 FILTER_BITS = 1 << 24
 
+#: A name for a working column that no table of documents has.
+HIT = "_proofline_hit"
+
 _own_dir: str | None = None
 
 
@@ -150,9 +153,9 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     if not bits.any():
         return docs
     hit = slot_udf(spark, bits)
-    marked = docs.withColumn("_hit", F.col(key).isNotNull() & hit(filter_slot(F.coalesce(F.col(key), F.lit(0).cast("long")))))
-    sure = marked.where(~F.col("_hit")).drop("_hit")
-    rest = marked.where("_hit").drop("_hit").join(gone.select(key), key, "left_anti").select(*docs.columns)
+    marked = docs.withColumn(HIT, F.col(key).isNotNull() & hit(filter_slot(F.coalesce(F.col(key), F.lit(0).cast("long")))))
+    sure = marked.where(~F.col(HIT)).drop(HIT)
+    rest = marked.where(F.col(HIT)).drop(HIT).join(gone.select(key), key, "left_anti").select(*docs.columns)
     return sure.unionByName(rest)
 
 

@@ -157,15 +157,15 @@ def drop_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
     if not bits.any():
         return docs
     hit = common.slot_udf(spark, bits)
-    marked = docs.withColumn("_key", key)
-    marked = marked.withColumn("_hit", F.col("text").isNotNull() & hit(common.hash_slot("_key")))
-    gone = found.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_gone")
-    rest = marked.where("_hit").join(gone, (F.col("_key") == F.col("_k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    rest = rest.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    marked = docs.withColumn("_proofline_key", key)
+    marked = marked.withColumn("_proofline_hit", F.col("text").isNotNull() & hit(common.hash_slot("_proofline_key")))
+    gone = found.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("_proofline_gone")).select(F.col("doc_id").alias("_proofline_d"), F.col("key").alias("_proofline_k"), "_proofline_gone")
+    rest = marked.where("_proofline_hit").join(gone, (F.col("_proofline_key") == F.col("_proofline_k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_proofline_d")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_proofline_gone", i)), "\n")
+    rest = rest.withColumn("text", F.when(F.col("_proofline_gone").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return marked.where(~F.col("_hit")).select(*docs.columns).unionByName(rest.select(*docs.columns))
+        rest = rest.withColumn("n_chars", F.when(F.col("_proofline_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return marked.where(~F.col("_proofline_hit")).select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,16 +174,16 @@ def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with entities replaced by [KIND], removed terms by [REMOVED] and
     generalised ones by [TERM]. Where spans overlap, the first that starts holds."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    f = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_k"])
-    rows = docs.join(f, (key == F.col("_k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")
+    f = found.select(F.col("doc_id").alias("_proofline_d"), F.col("key").alias("_proofline_k"), F.col("spans").alias("_proofline_s")).dropDuplicates(["_proofline_d", "_proofline_k"])
+    rows = docs.join(f, (key == F.col("_proofline_k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_proofline_d")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     label = lambda s: F.when((s["kind"] == 4) & (s["action"] == "remove"), F.lit("[REMOVED]")).otherwise(F.get(names, s["kind"]))
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
         F.struct(F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), label(s)).alias("out"), s["end"].alias("at"))
     )
-    done = F.aggregate("_s", state, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.size("_s") > 0, done).otherwise(F.col("text"))
+    done = F.aggregate("_proofline_s", state, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    text = F.when(F.size("_proofline_s") > 0, done).otherwise(F.col("text"))
     return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 

@@ -278,7 +278,7 @@ def scorer(spark: SparkSession, model: Model):
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score THRESHOLD or more go."""
     score = scorer(spark, train(docs, common.table(spark, sf_dir, "labels")))
-    return docs.withColumn("_score", score("text")).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    return docs.withColumn(common.HIT, score("text")).where(F.col(common.HIT) < THRESHOLD).select(*docs.columns)
 
 
 def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
