@@ -146,8 +146,8 @@ def disclosures(docs: DataFrame, near: DataFrame, support: int, least: float) ->
     of_entity = near.select("entity", "doc_id", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     of_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    terms = pairs.select("term").distinct()
-    met = pairs.join(of_entity, "entity").join(of_term.join(terms, "term", "left_semi"), "term")
+    # An inner join stays above the count; a semi join would be moved below it, to every word.
+    met = pairs.join(of_entity, "entity").join(of_term, "term")
     share = 1 - F.log2(F.greatest("n_t", "n_et") / F.col("n_et")) / F.log2(F.lit(float(n)) / F.col("n_e"))
     return met.where(F.col("n_e") < n).select("entity", "term", share.alias("share")).where(F.col("share") >= least)
 
