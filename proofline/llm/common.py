@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,29 +159,78 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return sure.unionByName(rest)
 
 
+#: Edges that a task contracts at a time.
+CONTRACT = 1 << 17
+
+
+def forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The same components as those of the edges, as (id, smallest id of its component)."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for x, y in zip(a, b):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return [(v, root(v)) for v in parent if root(v) != v]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    a: list[int] = []
+    b: list[int] = []
+
+    def out(n: int) -> pa.RecordBatch:
+        found = forest(a[:n], b[:n])
+        del a[:n], b[:n]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for x in batches:
+        a += x.column("a").to_pylist()
+        b += x.column("b").to_pylist()
+        if len(a) >= CONTRACT:
+            n = len(a) - 1  # edges that follow each other with one a stay together
+            while n and a[n - 1] == a[-1]:
+                n -= 1
+            if n:
+                yield out(n)
+    if a:
+        yield out(len(a))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges contracted in each task, then in the tasks that hold all edges of an a. The first
+    step leaves an id one edge a task, so no id is frequent in the second."""
+    kind = "a long, b long"
+    return edges.select("a", "b").mapInArrow(_contract, kind).repartition("a").sortWithinPartitions("a").mapInArrow(_contract, kind)
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each end but the smallest of its component leads to that alone. One row reaches the
+    driver."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("to")), F.struct(F.col("b").alias("id"), F.col("b").alias("to")))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.min("to").alias("x"), F.max("to").alias("y")).where("x != y").agg(F.count(F.lit(1)).alias("n")).first()["n"] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list (long columns a, b): columns id, component (the
     smallest id reachable), for ids with an edge. Null ends are dropped.
 
-    Large-star and small-star contraction: each round points neighbours at the smallest one known,
-    until nothing moves; rounds grow with the logarithm of the longest path. Minimum aggregates
-    combine before their shuffle, and no node's neighbours are gathered anywhere. Each round is a
-    table in the shared folder; two numbers a round reach the driver.
+    Each round leads an id's edges on to the smallest id that their ends lead to, then joins the ends
+    of one id by contracting edges inside tasks, CONTRACT at a time, until all edges lead to the smallest
+    id of their component. Minimum aggregates combine before their shuffle, and no id's neighbours
+    are gathered anywhere. No step raises the sum of all ends and a round on unsettled edges lowers it,
+    so rounds end. Each round is a table in the shared folder; one number a round reaches the driver.
     """
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    now = store(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = mark(now)
-    while seen[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = store(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        small = store(small.where("a != b").distinct(), "edges")
-        discard(now, large)
-        now, last, seen = small, seen, mark(small)
-        if seen == last:
-            break
-    ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return ends.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    now = store(_contracted(edges.where("a is not null and b is not null and a != b")), "edges")
+    while not _settled(now):
+        on = now.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+        led = now.join(on, "b", "left").select("a", F.least("b", "m").alias("b"))
+        now, last = store(_contracted(led), "edges"), now
+        discard(last)
+    ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("component")), F.struct(F.col("b").alias("id"), F.col("b").alias("component")))).alias("e"))
+    return ends.select("e.*").groupBy("id").agg(F.min("component").alias("component"))

@@ -316,8 +316,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = common.store(docs.mapInArrow(_signed(k), "doc_id long, n long, set_id long, sig binary"), "signed")
     member = signed.where("doc_id is not null and n > 0")
-    named = member.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = common.store(member.join(named, "set_id").where("doc_id = rep").select("rep", "set_id", "n", "sig").dropDuplicates(["set_id"]), "reps")
+    first_of = F.min(F.struct("doc_id", "n", "sig")).alias("x")
+    reps = common.store(member.groupBy("set_id").agg(first_of).select(F.col("x.doc_id").alias("rep"), "set_id", "x.n", "x.sig"), "reps")
+    named = reps.select("set_id", "rep")
 
     keys = reps.select("rep", "sig").mapInArrow(_index(), "key long, rep long")
     shared = common.store(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead")).where("members > 1"), "shared")
@@ -329,23 +330,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100)
     first = _links(stars, reps, docs, k, num, den)
 
     # Rows of one doc_id are one node, whatever their sets.
-    own = member.select("doc_id", "set_id").distinct().join(named, "set_id")
-    many = own.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x != y").select("doc_id")
-    same = common.store(own.join(many, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b"), "same")
+    many = common.store(member.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x != y").select("doc_id"), "many")
+    own = member.select("doc_id", "set_id").join(many, "doc_id").distinct().join(named, "set_id")
+    same = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
 
     classes = common.components(first.unionByName(same))
     comp = classes.select(F.col("id").alias("rep"), F.col("component"))
     open_ = met.where("members > 2").join(comp, "rep", "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("comp"))
     split = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
     open_ = common.store(open_.join(split, "key"), "open")
+    of_rep = named.join(comp, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     if not open_.isEmpty():
         more = _links_between_classes(open_, reps, docs, k, num, den)
         if not more.isEmpty():
-            classes = common.components(first.unionByName(same).unionByName(more))
+            joined = common.components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
+            of_rep = of_rep.join(joined, "component", "left").select("set_id", F.coalesce("least", "component").alias("component"))
     common.discard(met, open_)
 
-    of_set = named.join(classes, named["rep"] == classes["id"], "left").select("set_id", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(of_set, "set_id", "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(of_rep, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
