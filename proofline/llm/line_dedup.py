@@ -139,12 +139,15 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = S
     shape = F.transform("tokens", lambda t, i: F.when(F.array_contains("loose", i), F.lit(FIELD)).otherwise(t))
     held = distinct.join(loose, ["leaf", "line"], "left").withColumn("loose", F.coalesce("loose", F.array().cast("array<int>")))
     made = held.where(F.size("loose") <= (1 - constant) * F.size("tokens")).select("leaf", "line", F.array_join(shape, " ").alias("template"))
-    of_line = kept.join(made.select("leaf", "line", "template", F.xxhash64("leaf", "template").alias("id")), ["leaf", "line"])
+    # Both sides of the next two joins are tables: a small one is broadcast by its true size, and the
+    # lines of a frequent template are split where not.
+    made = common.store(made.select("leaf", "line", "template", F.xxhash64("leaf", "template").alias("id")), "made")
+    of_line = kept.join(made, ["leaf", "line"])
     of_line = common.store(of_line.select("doc_id", "key", "line_no", "rest", "template", "id"), "templated")
     in_docs = of_line.groupBy("id", "rest").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1)), "key").alias("docs"))
-    known = in_docs.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("docs").alias("all")).where(f"n_docs >= {min_docs} and n_docs >= {spread} * all").select("id", "n_docs")
+    known = common.store(in_docs.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("docs").alias("all")).where(f"n_docs >= {min_docs} and n_docs >= {spread} * all").select("id", "n_docs"), "known")
     out = common.store(of_line.join(known, "id").select("doc_id", "key", "line_no", "template", "n_docs"), "recurring")
-    common.discard(lines, frequent, kept, distinct, of_line)
+    common.discard(lines, frequent, kept, distinct, made, of_line, known)
     return out
 
 
