@@ -11,9 +11,15 @@ that a third of all lines fall in is counted like any other, and no leaf's lines
 
 *Recurring.* Copies of a document repeat all its lines without any of them being boilerplate (removing
 such documents is for other operators). Documents are therefore told apart by the smallest shingle
-hash of their other lines, which copies and most near copies share: a template recurs if documents
+hash of their other text, which copies and most near copies share: a template recurs if documents
 with at least MIN_DOCS different values hold it, and they are at least SPREAD of the documents that do.
 
+*Other text.* The other lines may be boilerplate too, and more of it than the document's own. So a
+document is told apart by its least widely held lines, as many classes of them as it takes to have OWN
+words, and only lines of wider classes are judged by these; others by all other lines. How widely a
+line is held is the number of different texts that hold one of its anchors, the smallest hashes
+of its runs of RUN tokens: an edited line of a near copy mostly shares one with the line it was.
+
 Results for odd input: null text has no lines; blank lines stay; a document that loses all lines has
 empty text; rows with a null or repeated doc_id are told apart by their text; an empty table gives an
 empty result; other columns are not looked at, and the stage keeps them.
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -34,6 +41,9 @@ LEADING = 3
 MIN_DOCS = 10
 SPREAD = 0.3
 CONSTANT = 0.7
+#: Words that tell a document apart; factor between classes of widely held lines.
+OWN, CLASS = 16, 4
+ANCHORS, RUN = 4, 4
 FIELD = "<*>"
 
 _rng = np.random.default_rng(11)
@@ -43,6 +53,7 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 _MARK = np.zeros(256, dtype=bool)
 _MARK[[*range(0x30, 0x3A), 0x40, 0x2F]] = True
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ANCHOR = [f"anchor{k}" for k in range(ANCHORS)]
 
 
 class Lines:
@@ -76,6 +87,16 @@ class Lines:
             s = np.concatenate((s, np.full(4, _LAST)))
             room = np.repeat(self.size, self.size) - place
             low = np.where(self.size > 4, np.minimum.reduceat(np.where(room > 4, s, _LAST), self.first), low)
+        self.low = low
+        self.anchors = [self.hash] * ANCHORS
+        if len(h) >= RUN:
+            s = np.zeros(len(h) - RUN + 1, dtype=np.uint64)
+            for j in range(RUN):
+                s += masked[j : j + len(s)] * _W[j]
+            inside = (np.repeat(self.size, self.size) - place)[: len(s)] >= RUN
+            for k in range(ANCHORS):
+                v = np.concatenate((np.where(inside, words.mix(s ^ _W[4 + k]), _LAST), np.full(RUN - 1, _LAST)))
+                self.anchors[k] = np.where(self.size >= RUN, np.minimum.reduceat(v, self.first), self.hash)
         at = np.flatnonzero(np.concatenate(([True], self.doc[1:] != self.doc[:-1])))
         of = np.repeat(np.arange(len(at)), np.diff(np.concatenate((at, [self.n]))))
         least = np.minimum.reduceat(low, at)
@@ -93,8 +114,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x.n:
                 row = pa.array(g.first + x.doc)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(row), b.column("key").take(row), pa.array(x.number.astype(np.int32)), *[pa.array(v.view(np.int64)) for v in (x.leaf, x.hash, x.rest)]],
-                    names=["doc_id", "key", "line_no", "leaf", "line", "rest"],
+                    [b.column("doc_id").take(row), b.column("key").take(row), pa.array(x.number.astype(np.int32)), pa.array(x.size.astype(np.int32)), *[pa.array(v.view(np.int64)) for v in (x.leaf, x.hash, x.rest, x.low, *x.anchors)]],
+                    names=["doc_id", "key", "line_no", "size", "leaf", "line", "rest", "low", *_ANCHOR],
                 )
 
 
@@ -119,15 +140,35 @@ def _masked(bits):
     return run
 
 
+def _told_apart(lines: DataFrame, kept: DataFrame, min_docs: int) -> DataFrame:
+    """``kept`` with ``rest`` taken from the least widely held lines of the text where the line is
+    held more widely than these."""
+    once = common.store(lines.select("key", "line", "size", "low", *_ANCHOR).dropDuplicates(["key", "line"]), "once")
+    anchor = F.explode(F.array_distinct(F.array(*_ANCHOR))).alias("anchor")
+    held = common.store(once.select("key", anchor).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where(f"texts >= {min_docs}"), "anchors")
+    of_line = once.select("line", *_ANCHOR).dropDuplicates(["line"]).select("line", anchor)
+    degree = (F.floor(F.log(F.col("texts") / min_docs) / F.log(F.lit(float(CLASS)))) + 1).cast("int")
+    wide = common.store(of_line.join(held, "anchor").groupBy("line").agg(F.max("texts").alias("texts")).select("line", degree.alias("class")), "wide")
+    classed = once.join(wide, "line", "left").withColumn("class", F.coalesce("class", F.lit(0)))
+    by_class = classed.groupBy("key", "class").agg(F.sum("size").alias("size"), F.min("low").alias("low"))
+    upto = W.partitionBy("key").orderBy("class").rowsBetween(W.unboundedPreceding, W.currentRow)
+    enough = by_class.select("key", "class", F.sum("size").over(upto).alias("size"), F.min("low").over(upto).alias("low")).where(f"size >= {OWN}")
+    told = common.store(enough.groupBy("key").agg(F.min(F.struct("class", "low")).alias("own")).select("key", F.col("own.class").alias("level"), F.col("own.low").alias("own")), "told")
+    rest = F.when(F.col("class") > F.col("level"), F.col("own")).otherwise(F.col("rest"))
+    out = common.store(kept.join(wide, "line", "left").join(told, "key", "left").select("doc_id", "key", "line_no", "leaf", "line", rest.alias("rest")), "candidates")
+    common.discard(once, held, wide, told)
+    return out
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = SPREAD, constant: float = CONSTANT) -> DataFrame:
     """Lines of ``docs`` (doc_id, text) whose template recurs: doc_id, key (of the text), line_no
     (from 0), template, n_docs (different documents that hold it), as a stored table."""
     spark = docs.sparkSession
     common.text_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
-    lines = common.store(text.mapInArrow(_lines, "doc_id long, key long, line_no int, leaf long, line long, rest long"), "lines")
-    frequent = common.store(lines.select("leaf", "rest").distinct().groupBy("leaf").count().where(f"count >= {min_docs}").select("leaf"), "leaves")
-    kept = common.store(lines.join(frequent, "leaf"), "candidates")
+    lines = common.store(text.mapInArrow(_lines, ", ".join(["doc_id long, key long, line_no int, size int, leaf long, line long, rest long, low long", *[f"{a} long" for a in _ANCHOR]])), "lines")
+    frequent = common.store(lines.select("leaf", "key", "line").distinct().groupBy("leaf").count().where(f"count >= {min_docs}").select("leaf"), "leaves")
+    kept = _told_apart(lines, lines.join(frequent, "leaf"), min_docs)
     bits = spark.sparkContext.broadcast(common.id_filter(frequent, slot=common.hash_slot("leaf")))
     weight = kept.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("w"))
     shown = text.select("text").mapInArrow(_masked(bits), "leaf long, line long, masked string").groupBy("leaf", "line").agg(F.min("masked").alias("masked"))

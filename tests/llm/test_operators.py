@@ -490,6 +490,20 @@ def test_recurring_lines_go_and_copies_stay(spark, odd, empty):
     assert line_dedup.recurring_lines(empty).count() == 0
 
 
+def test_a_block_of_boilerplate_goes_and_near_copies_stay(spark):
+    rng = np.random.default_rng(5)
+    text = lambda lines: [" ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(12)) for _ in range(lines)]
+    block, page = text(10), text(10)
+    docs = [(i, "\n".join(text(2) + block)) for i in range(200)]
+    for i in range(200, 260):
+        edited = [x.split() for x in page]
+        for at in rng.choice(10, 2, replace=False):
+            edited[at][rng.integers(0, 12)] = "edited" + "".join(map(chr, rng.integers(97, 123, 5)))
+        docs.append((i, "\n".join(" ".join(x) for x in edited)))
+    found = line_dedup.recurring_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r["doc_id"], r["line_no"]) for r in found.collect()} == {(i, n) for i in range(200) for n in range(2, 12)}
+
+
 def test_stages_keep_odd_rows_and_columns(spark, odd):
     for stage in (toxicity.toxicity_stage, line_dedup.line_dedup_stage, near_dedup.near_dedup_stage, decontaminate.decontamination_stage):
         out = stage(spark, odd, SF)
