@@ -12,7 +12,8 @@ that a third of all lines fall in is counted like any other, and no leaf's lines
 *Recurring.* Copies of a document repeat all its lines without any of them being boilerplate (removing
 such documents is for other operators). Documents are therefore told apart by the smallest shingle
 hash of their other text, which copies and most near copies share: a template recurs if documents
-with at least MIN_DOCS different values hold it, and they are at least SPREAD of the documents that do.
+with at least MIN_DOCS different values hold it, and they are at least SPREAD of the different texts
+that do (exact copies count once).
 
 *Other text.* The other lines may be boilerplate too, and more of it than the document's own. So a
 document is told apart by its least widely held lines, as many classes of them as it takes to have OWN
@@ -185,7 +186,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = S
     made = common.store(made.select("leaf", "line", "template", F.xxhash64("leaf", "template").alias("id")), "made")
     of_line = kept.join(made, ["leaf", "line"])
     of_line = common.store(of_line.select("doc_id", "key", "line_no", "rest", "template", "id"), "templated")
-    in_docs = of_line.groupBy("id", "rest").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1)), "key").alias("docs"))
+    in_docs = of_line.groupBy("id", "rest").agg(F.countDistinct("key").alias("docs"))
     known = common.store(in_docs.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("docs").alias("all")).where(f"n_docs >= {min_docs} and n_docs >= {spread} * all").select("id", "n_docs"), "known")
     out = common.store(of_line.join(known, "id").select("doc_id", "key", "line_no", "template", "n_docs"), "recurring")
     common.discard(lines, frequent, kept, distinct, made, of_line, known)

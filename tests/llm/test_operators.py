@@ -504,6 +504,16 @@ def test_a_block_of_boilerplate_goes_and_near_copies_stay(spark):
     assert {(r["doc_id"], r["line_no"]) for r in found.collect()} == {(i, n) for i in range(200) for n in range(2, 12)}
 
 
+def test_a_group_of_copies_shields_no_line(spark):
+    rng = np.random.default_rng(12)
+    text = lambda: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(20))
+    line = "Licensed to all who read this"
+    copy = f"{text()}\n{line}"
+    docs = [(i, f"{text()}\n{line}") for i in range(500)] + [(i, copy) for i in range(500, 2500)]
+    found = line_dedup.recurring_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r["doc_id"], r["line_no"]) for r in found.collect()} == {(i, 1) for i in range(2500)}
+
+
 def test_stages_keep_odd_rows_and_columns(spark, odd):
     for stage in (toxicity.toxicity_stage, line_dedup.line_dedup_stage, near_dedup.near_dedup_stage, decontaminate.decontamination_stage):
         out = stage(spark, odd, SF)
