@@ -6,16 +6,16 @@ patterns are the stated ones made linear: they start at the start of a run or wh
 ended, and repeat possessively, so neither a long run nor a long match costs more than its length.
 
 *Disclosure.* A term near an entity may reveal it although the entity itself is removed. From the
-corpus: n(e) documents hold entity e, n(t) hold term t, n(e,t) have t within WINDOW characters of e,
-out of N. The information that t gives about e, relative to all there is about e, is
+corpus: n(e) texts hold entity e, n(t) hold term t, n(e,t) have t within WINDOW characters of e, out
+of N; exact copies are one text. The chance of e given t is P = (n(e,t) + PRIOR n(e) / N) / (n(t) + PRIOR),
+and the information that t gives about e, relative to all there is about e, is
 
-    (log2(N n(e,t) / (n(e) n(t)))) / log2(N / n(e)),
+    log2(P N / n(e)) / log2(N / n(e)),
 
-at most 1, when t occurs near e only. Pairs seen in at least ``support`` documents count. Terms that
-reach ``generalise`` are replaced by their class, those that reach ``remove`` are removed, where they
-stand near that entity. Counts take in every document; the candidate terms' document frequencies come
-from a word count that combines before its shuffle. Windows are linear in the entities, whatever a
-document holds.
+below 1, and the lower the fewer texts show it. Pairs seen in at least ``support`` texts count: one text
+can't tell a term from any rare word. Terms that reach ``generalise`` are replaced by their class, those
+that reach ``remove`` are removed, wherever they stand in a document that holds the entity. The
+candidate terms' counts take in every text. Windows are linear in the entities, whatever a document holds.
 
 Results for odd input: null text is empty text; rows with null or repeated doc_ids keep their rows; an
 empty table gives an empty result; other columns are not looked at.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 120
-SUPPORT = 8
+SUPPORT, PRIOR = 2, 0.5
 GENERALISE, REMOVE = 0.85, 0.95
 _BLOCK = 256
 
@@ -102,11 +102,11 @@ def _matches(df: DataFrame, text: Column, pattern: str, when: Column, out: str)
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of doc_id and text), spans: array of (start, kind, end, value, left, right) by
+    """doc_id, key (of doc_id and text), copy (of the text), spans: array of (start, kind, end, value, left, right) by
     start and kind, kind a place in KINDS, left and right the text around the span."""
     text = F.col("text")
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    df = df.withColumn("key", F.xxhash64("doc_id", "text"))
+    df = df.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("copy", F.xxhash64("text"))
     for i, kind in enumerate(KINDS[:4]):
         df = _matches(df, text, _PATTERN[kind], _may_hold(kind, text), f"m{i}")
     span = lambda i: lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value"))
@@ -122,17 +122,17 @@ def entities(docs: DataFrame) -> DataFrame:
         at = F.when(lo == 0, F.lit(-1)).otherwise(lo).cast("bigint")
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), left.alias("left"), at.alias("left_at"), right.alias("right"), (s["end"] - 1).alias("right_at"))
 
-    return df.select("doc_id", "key", F.transform("s", around).alias("spans"))
+    return df.select("doc_id", "key", "copy", F.transform("s", around).alias("spans"))
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """A row per entity and term near it: doc_id, key, entity, term, start, end. Words that are
+    """A row per entity and term near it: doc_id, key, copy, entity, term, start, end. Words that are
     part of an entity are left out."""
-    one = found.where(F.size("spans") > 0).select("doc_id", "key", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("all"), F.explode("spans").alias("s"))
-    one = one.select("doc_id", "key", "all", F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value")).alias("entity"), F.explode(F.array(F.struct(F.col("s.left").alias("t"), F.col("s.left_at").alias("at")), F.struct(F.col("s.right").alias("t"), F.col("s.right_at").alias("at")))).alias("w"))
+    one = found.where(F.size("spans") > 0).select("doc_id", "key", "copy", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("all"), F.explode("spans").alias("s"))
+    one = one.select("doc_id", "key", "copy", "all", F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value")).alias("entity"), F.explode(F.array(F.struct(F.col("s.left").alias("t"), F.col("s.left_at").alias("at")), F.struct(F.col("s.right").alias("t"), F.col("s.right_at").alias("at")))).alias("w"))
     one = _matches(one.withColumn("t", F.col("w.t")), F.col("t"), _TERM, F.lit(True), "words")
-    one = one.select("doc_id", "key", "all", "entity", F.col("w.at").alias("at"), F.explode("words").alias("m"))
-    one = one.select("doc_id", "key", "all", "entity", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.start") + F.length("m.value")).alias("end"))
+    one = one.select("doc_id", "key", "copy", "all", "entity", F.col("w.at").alias("at"), F.explode("words").alias("m"))
+    one = one.select("doc_id", "key", "copy", "all", "entity", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.start") + F.length("m.value")).alias("end"))
     inside = F.exists("all", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     return one.where(~inside).drop("all")
 
@@ -140,18 +140,37 @@ def contexts(found: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, near: DataFrame, support: int, least: float) -> DataFrame:
     """Pairs (entity, term) whose disclosure reaches ``least``: entity, term, share. One count
     reaches the driver."""
-    n = docs.count()
-    of_pair = near.select("entity", "term", "doc_id", "key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(f"n_et >= {support}")
+    copy = F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy")
+    n = docs.select(copy).distinct().count()
+    of_pair = near.select("entity", "term", "copy").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(f"n_et >= {support}")
     pairs = common.store(of_pair, "pairs")
-    of_entity = near.select("entity", "doc_id", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    of_entity = near.select("entity", "copy").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    of_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    # An inner join stays above the count; a semi join would be moved below it, to every word.
+    candidates = common.store(pairs.select("term").distinct(), "terms")
+    of_term = docs.select(copy, F.explode(words).alias("term")).join(candidates, "term").groupBy("term").agg(F.countDistinct("copy").alias("n_t"))
     met = pairs.join(of_entity, "entity").join(of_term, "term")
-    share = 1 - F.log2(F.greatest("n_t", "n_et") / F.col("n_et")) / F.log2(F.lit(float(n)) / F.col("n_e"))
+    chance = (F.col("n_et") + PRIOR * F.col("n_e") / n) / (F.greatest("n_t", "n_et") + PRIOR)
+    share = 1 + F.log2(chance) / F.log2(F.lit(float(n)) / F.col("n_e"))
     return met.where(F.col("n_e") < n).select("entity", "term", share.alias("share")).where(F.col("share") >= least)
 
 
+def occurrences(docs: DataFrame, found: DataFrame, telling: DataFrame) -> DataFrame:
+    """Where telling terms stand in the documents that hold their entities: doc_id, key, start, end,
+    share. Words that are part of an entity are left out."""
+    each = found.where(F.size("spans") > 0).select("doc_id", "key", F.explode("spans").alias("s"))
+    entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
+    held = each.select("doc_id", "key", entity.alias("entity")).distinct().join(telling, "entity")
+    wanted = common.store(held.groupBy("doc_id", "key", "term").agg(F.max("share").alias("share")), "wanted")
+    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("all")
+    holders = found.select("key", spans).join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key")
+    whole = docs.select(key, F.concat(F.lit(" "), "text", F.lit(" ")).alias("t")).join(holders, "key").dropDuplicates(["key"])
+    one = _matches(whole, F.col("t"), _TERM, F.lit(True), "words").select("key", "all", F.explode("words").alias("m"))
+    one = one.select("key", "all", F.lower("m.value").alias("term"), (F.col("m.start") - 1).alias("start"), (F.col("m.start") - 1 + F.length("m.value")).alias("end"))
+    inside = F.exists("all", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    return one.join(wanted, ["key", "term"]).where(~inside).select("doc_id", "key", "start", "end", "share")
+
+
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, key, spans: array of (start, kind, end, action) by start and kind. ``action`` is
     'remove' for entities; 'remove' or 'generalise' for the terms that disclose them."""
@@ -160,7 +179,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: floa
     near = common.store(contexts(found), "contexts")
     telling = common.store(disclosures(docs, near, support, generalise), "telling")
     action = F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
-    hits = near.join(telling, ["entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(F.max("share").alias("share"))
+    hits = occurrences(docs, found, telling).groupBy("doc_id", "key", "start", "end").agg(F.max("share").alias("share"))
     term = F.struct("start", F.lit(4).alias("kind"), "end", action.alias("action"))
     added = hits.groupBy("doc_id", "key").agg(F.collect_list(term).alias("terms")).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "terms")
     own = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("remove").alias("action")))

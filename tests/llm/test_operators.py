@@ -295,6 +295,17 @@ def test_personal_data_is_that_of_brute_force(spark, odd, empty):
     assert pii.find_personal_data(odd).count() == len(ODD) and pii.find_personal_data(empty).count() == 0
 
 
+def test_rare_telling_terms_go_throughout_and_copies_count_once(spark):
+    far = "The clinic has many rooms for all. " * 8
+    docs = [(i, f"Write to x@secret.org about zoltan in ward {i}. {far}Then zoltan left.") for i in range(2)]
+    docs += [(i, f"Write to y@secret.org about zebra in ward. {far}") for i in range(2, 32)]
+    docs += [(i, f"Write to all about ward {i}. {far}") for i in range(32, 400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df, pii.find_personal_data(df)).collect()}
+    assert out[1] == f"Write to [EMAIL] about [REMOVED] in ward 1. {far}Then [REMOVED] left."
+    assert out[5] == docs[5][1].replace("y@secret.org", "[EMAIL]") and out[50] == docs[50][1]
+
+
 def test_telling_terms_are_found_and_removed(spark):
     docs = [(i, f"The clinic wrote to x@secret.org about zoltan in ward {i}.") for i in range(12)] + [(i, f"The clinic wrote to all about ward {i}.") for i in range(12, 200)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
