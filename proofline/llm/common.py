@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -71,10 +72,17 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch; without this a batch of very long texts fills a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != TEXT_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the rows of an Arrow batch; without this a batch of very long texts fills a worker. Holds
+    for what runs inside, so results that read texts in Python are stored there."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(TEXT_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], rows_per_bucket: int, out: str, bucket_on: list[str] | None = None) -> DataFrame:

@@ -253,8 +253,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item: str = "item_id") -
     """Matches between ``docs`` (doc_id, text) and ``benchmark`` (item, text): doc_id, key (of the
     text), item_id, cosine, coverage; a row for each document and item that match, as a stored table.
     Items reach the driver in blocks of about ITEMS, their words' frequencies and latent space too."""
+    with common.text_batches(docs.sparkSession):
+        return _contaminated(docs, benchmark, item)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, item: str) -> DataFrame:
     spark = docs.sparkSession
-    common.text_batches(spark)
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     asked = benchmark.where(F.col(item).isNotNull() & F.col("text").isNotNull()).select(F.col(item).alias("item"), "text").distinct()
     kind = asked.schema["item"].dataType.simpleString()

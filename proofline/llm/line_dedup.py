@@ -164,8 +164,12 @@ def _told_apart(lines: DataFrame, kept: DataFrame, min_docs: int) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = SPREAD, constant: float = CONSTANT) -> DataFrame:
     """Lines of ``docs`` (doc_id, text) whose template recurs: doc_id, key (of the text), line_no
     (from 0), template, n_docs (different documents that hold it), as a stored table."""
+    with common.text_batches(docs.sparkSession):
+        return _recurring_lines(docs, min_docs, spread, constant)
+
+
+def _recurring_lines(docs: DataFrame, min_docs: int, spread: float, constant: float) -> DataFrame:
     spark = docs.sparkSession
-    common.text_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
     lines = common.store(text.mapInArrow(_lines, ", ".join(["doc_id long, key long, line_no int, size int, leaf long, line long, rest long, low long", *[f"{a} long" for a in _ANCHOR]])), "lines")
     frequent = common.store(lines.select("leaf", "key", "line").distinct().groupBy("leaf").count().where(f"count >= {min_docs}").select("leaf"), "leaves")

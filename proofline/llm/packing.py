@@ -211,9 +211,9 @@ def pack(docs: DataFrame, size: int = SEQUENCE, vocabulary: str = "byte_bpe_50k"
     """Pieces of ``docs`` (doc_id, text) and their places: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset. The histogram of lengths, ``size`` numbers, reaches the driver."""
     spark = docs.sparkSession
-    common.text_batches(spark)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = common.store(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, size), schema), "pieces")
+    with common.text_batches(spark):
+        pieces = common.store(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, size), schema), "pieces")
     counts = np.zeros(size + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]

@@ -223,7 +223,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, identity
     ``max_rows`` labelled rows are used; they reach the driver as counts of at most MAX_FEATURES
     features."""
     spark = docs.sparkSession
-    common.text_batches(spark)
     lab = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = lab.count()
     part = min(1.0, max_rows / max(1, n))

@@ -82,6 +82,7 @@ class Record:
     payload_bytes: int
     payload_digest: str
     payload: bytes | None
+    checked: bool = False
 
 
 class Bad(Exception):
@@ -124,50 +125,90 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
         size, payload = int(m[1]) if m else 0, None
     elif stated and stated != sha1_base32(payload):
         raise Bad("payload digest")
-    digest = stated or sha1_base32(payload or b"")
-    return Record(at, end + 4 - at, kind, _page_id(fields.get("warc-record-id")), _page_id(fields.get("warc-refers-to")), fields.get("warc-target-uri"), size, digest, payload), end + 4
+    shown = stated or sha1_base32(payload or b"")
+    return Record(at, end + 4 - at, kind, _page_id(fields.get("warc-record-id")), _page_id(fields.get("warc-refers-to")), fields.get("warc-target-uri"), size, shown, payload, bool(digest)), end + 4
 
 
-def _gunzip(data: bytes, at: int) -> tuple[bytes, int]:
-    """The member at ``at`` and where it ends. Input is fed in pieces: what follows is never copied."""
+def _gunzip(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` holds as far as it can be read, where it ends, and what is wrong with it
+    (nothing: empty). Input is fed in pieces: what follows is never copied."""
     d, out, pos, step = zlib.decompressobj(31), [], at, 1 << 13
     while not d.eof:
         piece = data[pos : pos + step]
         if not piece:
-            raise Bad("cut short")
+            return b"".join(out), len(data), "cut short"
+        before = d.copy()
         try:
             out.append(d.decompress(piece))
         except zlib.error as e:
-            raise Bad(f"member: {e}") from None
+            for i in range(len(piece)):  # what comes before the break, byte by byte
+                try:
+                    out.append(before.decompress(piece[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), pos, f"member: {e}"
         pos += len(piece)
-        step = min(1 << 20, 2 * step)
-    return b"".join(out), pos - len(d.unused_data)
+        step = min(1 << 16, 2 * step)
+    return b"".join(out), pos - len(d.unused_data), ""
+
+
+def _inside(inner: bytes, whole: bool) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """Valid records of a member, and gaps between them. Those of a member that failed its checksum
+    must have a block digest of their own."""
+    found: list[Record] = []
+    gaps: list[tuple[int, int, str]] = []
+    pos, bad = 0, None
+    while pos < len(inner):
+        try:
+            r, end = _parse(inner, pos)
+            if not whole and not r.checked:
+                raise Bad("no digest in a damaged member")
+        except Bad as e:
+            bad = bad or (pos, str(e))
+            pos = inner.find(VERSION, pos + 1)
+            if pos < 0:
+                break
+            continue
+        if bad:
+            gaps.append((bad[0], pos, bad[1]))
+            bad = None
+        found.append(r)
+        pos = end
+    if bad:
+        gaps.append((bad[0], len(inner), bad[1]))
+    return found, gaps
 
 
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Valid records and quarantined gaps (start, end, reason), in the order of their bytes."""
+    """Valid records and quarantined gaps (start, end, reason), in the order of their bytes. Records
+    of a member that is damaged elsewhere are kept; its range is logged as a gap all the same."""
     at, bad_from, reason = 0, None, ""
     while at < len(data):
         found: list[Record] = []
-        try:
-            if data.startswith(MAGIC, at):
-                inner, end = _gunzip(data, at)
-                pos = 0
-                while pos < len(inner):
-                    r, pos = _parse(inner, pos)
-                    r.offset, r.length = at, end - at
-                    found.append(r)
-            elif data.startswith(VERSION, at):
+        inner_gaps: list[tuple[int, int, str]] = []
+        why, end = "", at
+        if data.startswith(MAGIC, at):
+            inner, end, why = _gunzip(data, at)
+            found, inner_gaps = _inside(inner, not why)
+            for r in found:
+                r.offset, r.length = at, end - at
+            if not why and inner_gaps and not found:
+                why = inner_gaps[0][2]
+        elif data.startswith(VERSION, at):
+            try:
                 r, end = _parse(data, at)
                 found.append(r)
-            elif data[at] in b"\0\r\n" and bad_from is None:
-                at += 1
-                continue
-            else:
-                raise Bad("no record starts here")
-        except Bad as e:
+            except Bad as e:
+                why = str(e)
+        elif data[at] in b"\0\r\n" and bad_from is None:
+            at += 1
+            continue
+        else:
+            why = "no record starts here"
+        if why:
+            yield from found
             if bad_from is None:
-                bad_from, reason = at, str(e)
+                bad_from, reason = at, why
             m = _START.search(data, at + 1)
             at = m.start() if m else len(data)
             continue
@@ -175,6 +216,8 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
             yield bad_from, at, reason
             bad_from = None
         yield from found
+        for a, z, what in inner_gaps:
+            yield at, end, f"{what}, in bytes {a} to {z} of the member"
         at = end
     if bad_from is not None:
         yield bad_from, len(data), reason
@@ -218,7 +261,6 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Archive ``pages`` (page_id, url, html) as files of gzip members under ``path``. The mean size
     of a payload reaches the driver; it bounds the records of a file."""
     spark = pages.sparkSession
-    common.text_batches(spark)
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha2(html, 256)).alias("payload"))
     thin = common.store(rows.select("page_id", "payload", F.octet_length(html).cast("long").alias("bytes")), "payloads")
@@ -232,7 +274,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     maybe = marked.where("hit").join(r, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload") == F.col("q")), "left")
     maybe = maybe.select("page_id", "url", "html", "refers_to", F.col("q").isNotNull().alias("revisit"))
     out = whole.unionByName(maybe).mapInArrow(_members, "member binary").select(F.col("member").substr(F.lit(1), F.octet_length("member") - 1).cast("string").alias("value"))
-    out.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1024)))).text(path)
+    with common.text_batches(spark):
+        out.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1024)))).text(path)
     common.discard(thin, back)
 
 
@@ -240,13 +283,29 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     """Records of the archives under ``path``, and a row of record_type 'quarantined' (with file,
     offset, length and reason) for every gap. A file is read as one value, so its size bounds a
     task's memory."""
-    common.text_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_salvaged(with_payload), RECORDS)
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fails if a gap is found in archives that it has just written itself."""
     path = common.new_path(spark, "warc")
     write_archives(common.table(spark, sf_dir, "pages"), path)
-    records = read_archives(spark, path, with_payload=False).where("record_type in ('response', 'revisit')")
+    with common.text_batches(spark):
+        records = common.store(read_archives(spark, path, with_payload=False).drop("payload"), "records")
+    lost = records.where("record_type not in ('response', 'revisit')").select("file", "offset", "length", "reason").first()
+    if lost is not None:
+        raise RuntimeError(f"an archive came back damaged: {lost.asDict()}")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: A digest's 40 hex digits are eight numbers of 20 bits, each four letters of base 32.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+ORACLE_SQL = f"""
+with p as (select page_id, coalesce(html, '') as t from pages),
+r as (select page_id, t, max(page_id) over (partition by t) as last, sha1(t) as h from p)
+select page_id, strlen(t) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('{_LETTERS}', cast((cast('0x' || substr(h, cast(i // 4 * 5 + 1 as integer), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as integer) + 1, 1)), '') as payload_digest,
+  case when page_id < last then 'revisit' else 'response' end as record_type, case when page_id < last then last end as refers_to
+from r
+"""
