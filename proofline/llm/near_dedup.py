@@ -3,31 +3,35 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Its signature is 112 MinHash
 values of 16 bits; the distance of two signatures is the number of places in which they differ.
 
-*Pigeonhole.* The 112 places are cut into 14 chunks of eight. Two signatures that differ in at most 27
-places agree in some chunk but for one place at most (27 // 14). So each chunk is indexed once for
-every place that may be wrong, with that place left out: 112 keys a signature, and every pair under
-the distance meets under a key. Beyond that distance most pairs still meet: at the linking threshold of
-0.85 one in three million pairs has no such chunk, at the pipeline stage's 0.8 one in eighteen thousand. Texts
-that are merely alike don't meet: at a similarity of 0.2, one pair in seven hundred does.
+*Pigeonhole.* Signatures that differ in at most ``max_distance`` places are candidates: a pair at the
+linking similarity exceeds that distance with a chance below MISS, a more similar pair less often. The
+places are cut into more than half as many chunks as there may be differing places, so some chunk
+of such a pair has one differing place at most. Each chunk is indexed once for every place that may be
+wrong, with that place left out: 112 keys a signature, and every pair within the distance meets under a key.
 
 *No all-pairs.* Texts with equal sets are one representative. Under a key, all others are first held
 against the smallest representative only; confirmed links form classes. Keys whose members then still
-fall in several classes are opened: the texts that such keys connect form a group, dealt into blocks of
-about BLOCK texts, and each pair of blocks counts its shared shingles as a product of two small
-matrices. A text of whose shingles too few occur in any other there is dropped first. Only links that
-join two classes come out, so copies of one text or one template cost a link each, no pair becomes a
-row, and nothing is capped.
+fall in several classes are opened. Two linked sets share one of the first shingles of each (all but
+``num / den`` of the set, and one) in any common order; in the order of their counts among the open
+texts, these are rare ones, so texts that merely share boilerplate don't meet. The texts that such
+shingles connect form a group, dealt into blocks by size and hash; each pair of blocks whose sizes allow
+a link counts its shared shingles as a product of two small matrices. Only links that join two classes
+come out, so copies of one text or one template cost a link each, no pair becomes a row, and nothing is
+capped. What stays quadratic, in arithmetic and in copies of sets (one per block of BLOCK texts), is a
+group of texts that share rare shingles with each other and still are not linked.
 
 *Confirmation.* Candidates whose sizes or signatures rule a link out are dropped; the rest are
 decided on their full sets, with integers: ``den * |A & B| >= num * |A | B|``.
 
 Results for odd input: null, empty or blank text has an empty set and links with nothing; a text with
-fewer words than a shingle is one shingle; rows that share a doc_id are one node; a null doc_id takes
-no part and is its own class; an empty table gives an empty result; other columns are not looked at.
+fewer words than a shingle is one shingle; rows that share a doc_id are one node, whatever their sets; a
+null doc_id takes no part and is its own class; an empty table gives an empty result; other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +41,12 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-PLACES, CHUNK = 112, 8
-CHUNKS = np.arange(0, PLACES, CHUNK)
-CHUNK_OF = np.arange(PLACES) // CHUNK
+PLACES = 112
+MISS = 1e-6
 #: Texts of a block, and shingles that are counted at a time.
 BLOCK, COLUMNS = 512, 4096
+#: Slots that open texts' shingles are counted in.
+SLOTS = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _WORD = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,7 +56,7 @@ _KEY = _rng.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.ui
 _SALT = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64)
 
 
-def max_distance(num: int, den: int, miss: float = 1e-8) -> int:
+def max_distance(num: int, den: int, miss: float = MISS) -> int:
     """Smallest distance that a pair at the threshold exceeds with a chance below ``miss``."""
     p, tail, k = 1 - num / den, 1.0, 0
     term = (1 - p) ** PLACES
@@ -139,21 +144,30 @@ def _places(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint16).reshape(-1, PLACES)
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunks(limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk of each place, and where each chunk begins: so many that ``limit`` differing places
+    leave some chunk with at most one."""
+    n = limit // 2 + 1
+    of = np.arange(PLACES) * n // PLACES
+    return of, np.searchsorted(of, np.arange(n))
+
+
+def chunk_keys(sig: np.ndarray, limit: int) -> np.ndarray:
     """The keys of each signature: key i is the chunk of place i without that place."""
+    of, first = chunks(limit)
     part = (sig.astype(np.uint64) + np.uint64(1)) * _KEY
-    total = np.add.reduceat(part, CHUNKS, axis=1)[:, CHUNK_OF]
+    total = np.add.reduceat(part, first, axis=1)[:, of]
     return words.mix((total - part) ^ _SALT)
 
 
-def _index(bits=None):
+def _index(limit: int, bits=None):
     """Keys of the representatives; with a filter, those that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = chunk_keys(_places(b.column("sig"))).ravel()
+            keys = chunk_keys(_places(b.column("sig")), limit).ravel()
             reps = np.repeat(b.column("rep").to_numpy(), PLACES)
             if bits is not None:
                 hit = common.in_filter(bits.value, (keys & np.uint64(common.FILTER_BITS - 1)).astype(np.int64) + 1)
@@ -179,14 +193,8 @@ def _wanted(k: int, bits):
         for b in batches:
             b = b.filter(pa.array(common.in_filter(bits.value, b.column("slot").to_numpy())))
             for first, sets in shingle_sets(b.column("text"), k) if b.num_rows else ():
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").slice(first, len(sets)).cast(pa.int64()),
-                        pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ],
-                    names=["rep", "set_id", "members"],
-                )
+                full = [s for s in sets if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in full], pa.int64()), pa.array([s.tobytes() for s in full], pa.binary())], names=["rep", "members"])
 
     return run
 
@@ -207,13 +215,13 @@ def _confirm(num: int, den: int):
 
 
 def _sets(need: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The sets of some representatives (rep, set_id), as a stored table rep, members. Texts are
-    read again; a fixed-size filter passes the wanted ones."""
+    """The sets of some representatives (rep, doc), as a stored table rep, members. Texts are read
+    again; a fixed-size filter passes the wanted ones."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(common.id_filter(need, "rep"))
-    scan = docs.where("doc_id is not null").select("doc_id", "text", common.filter_slot("doc_id").alias("slot"))
-    found = scan.mapInArrow(_wanted(k, bits), "rep long, set_id long, members binary")
-    return common.store(found.join(need, ["rep", "set_id"], "left_semi").dropDuplicates(["rep"]).select("rep", "members"), "sets")
+    bits = spark.sparkContext.broadcast(common.id_filter(need, "doc"))
+    scan = docs.where("doc_id is not null").select("text", common.filter_slot("doc_id").alias("slot"))
+    found = scan.mapInArrow(_wanted(k, bits), "rep long, members binary")
+    return common.store(found.join(need, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "members"), "sets")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -221,7 +229,7 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int,
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     near = common.store(met.select("a", "b", "sig_a", "sig_b").mapInArrow(_near(max_distance(num, den)), "a long, b long"), "near")
-    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "set_id"), "rep"), docs, k)
+    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "doc"), "rep"), docs, k)
     both = near.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
     out = common.store(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "a long, b long"), "links")
     common.discard(near, sets)
@@ -285,7 +293,7 @@ def _blocks(num: int, den: int):
 
     def run(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        block = t.column("block").to_numpy()
+        block = np.array(t.column("block").to_pylist())
         sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("members")]
         found = block_links(sets, t.column("comp").to_numpy(), block == i, block == j, num, den)
         return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
@@ -293,63 +301,119 @@ def _blocks(num: int, den: int):
     return run
 
 
+def _slot(u: np.ndarray) -> np.ndarray:
+    return (u & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets' shingles fall in each slot; one result a partition."""
+    n = np.zeros(SLOTS, dtype=np.int64)
+    for b in batches:
+        for x in b.column("members"):
+            n += np.bincount(_slot(np.frombuffer(x.as_buffer(), dtype=np.uint64)), minlength=SLOTS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+
+def first_shingles(u: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first of a set's shingles in the order of (count of the slot, shingle): a linked set has
+    one of them among its own first. Those that no other set has are left out."""
+    n = counts[_slot(u)]
+    order = np.lexsort((u, n))[: len(u) - -(-num * len(u) // den) + 1]
+    return u[order][n[order] > 1]
+
+
+def _firsts(counts, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [first_shingles(np.frombuffer(x.as_buffer(), dtype=np.uint64), counts.value, num, den) for x in b.column("members")]
+            if found:
+                reps = np.repeat(b.column("rep").to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(reps)], names=["shingle", "rep"])
+
+    return run
+
+
 def _links_between_classes(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``open_``: key, lead, rep, comp. A stored table of links between classes (a, b)."""
-    groups = common.components(open_.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-    texts = open_.select("rep", "comp").distinct().join(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")), "rep")
-    blocks = groups.groupBy(F.col("component").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = texts.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = common.store(dealt, "dealt")
-    sets = _sets(dealt.select("rep").join(reps.select("rep", "set_id"), "rep"), docs, k)
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp").join(sets, "rep")
+    """``open_``: rep, comp. A stored table of links between classes (a, b). Counts of SLOTS slots
+    reach the driver."""
+    spark = docs.sparkSession
+    texts = common.store(open_.distinct().join(reps.select("rep", "doc", "n"), "rep"), "texts")
+    sets = _sets(texts.select("rep", "doc"), docs, k)
+    counts = np.zeros(SLOTS, dtype=np.uint32)
+    got = sets.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit((1 << 32) - 1)).alias("n")).toArrow()
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    firsts = common.store(sets.mapInArrow(_firsts(spark.sparkContext.broadcast(counts), num, den), "shingle long, rep long").join(texts.select("rep", "comp"), "rep"), "firsts")
+    shared = common.store(firsts.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("lead")).where("x != y").select("shingle", "lead"), "shared")
+    met = firsts.join(shared, "shingle").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    groups = common.components(met)
+    # Sizes that allow a link are a class apart at most.
+    size = F.floor(F.log(F.col("n")) / math.log(den / num)).cast("int") if num < den else F.col("n").cast("int")
+    own = texts.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")), "rep").select("rep", "comp", "grp", size.alias("size"))
+    own = common.store(own, "own")
+    parts = own.groupBy("grp", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = own.join(parts, ["grp", "size"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    there = parts.select("grp", F.col("size").alias("other"), F.col("parts").alias("others"))
+    near = F.expr("other between size - 1 and size + 1")
+    each = dealt.join(there, "grp").where(near).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    here, to = F.struct(F.col("size"), F.col("part").alias("part")), F.struct(F.col("other").alias("size"), F.col("to").alias("part"))
+    each = each.select("grp", F.least(here, to).alias("i"), F.greatest(here, to).alias("j"), here.alias("block"), "rep", "comp").join(sets, "rep")
+    name = lambda c: F.concat_ws(":", F.col(c)["size"].cast("string"), F.col(c)["part"].cast("string")).alias(c)
+    each = each.select("grp", name("i"), name("j"), name("block"), "rep", "comp", "members")
     out = common.store(each.groupBy("grp", "i", "j").applyInArrow(_blocks(num, den), "a long, b long"), "links")
-    common.discard(dealt, sets)
+    common.discard(texts, sets, firsts, shared, own)
     return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> DataFrame:
     """Classes of near-duplicates among ``docs`` (doc_id, text): a row per row with doc_id,
-    n_shingles (set size), component_id (the smallest doc_id reachable over links) and kept."""
+    n_shingles (set size), component_id (the smallest doc_id reachable over links) and kept, as a
+    stored table."""
     spark: SparkSession = docs.sparkSession
-    common.text_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with common.text_batches(spark):
+        return _near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k, num, den)
+
+
+def _near_duplicates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    spark, limit = docs.sparkSession, max_distance(num, den)
     signed = common.store(docs.mapInArrow(_signed(k), "doc_id long, n long, set_id long, sig binary"), "signed")
     member = signed.where("doc_id is not null and n > 0")
     first_of = F.min(F.struct("doc_id", "n", "sig")).alias("x")
-    reps = common.store(member.groupBy("set_id").agg(first_of).select(F.col("x.doc_id").alias("rep"), "set_id", "x.n", "x.sig"), "reps")
-    named = reps.select("set_id", "rep")
+    # A representative is named by its set; ``doc`` is a row that has it.
+    reps = common.store(member.groupBy("set_id").agg(first_of).select(F.col("set_id").alias("rep"), F.col("x.doc_id").alias("doc"), "x.n", "x.sig"), "reps")
 
-    keys = reps.select("rep", "sig").mapInArrow(_index(), "key long, rep long")
+    keys = reps.select("rep", "sig").mapInArrow(_index(limit), "key long, rep long")
     shared = common.store(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("lead")).where("members > 1"), "shared")
     bits = spark.sparkContext.broadcast(common.id_filter(shared, slot=common.hash_slot("key")))
-    again = reps.select("rep", "sig").mapInArrow(_index(bits), "key long, rep long")
+    again = reps.select("rep", "sig").mapInArrow(_index(limit, bits), "key long, rep long")
     met = common.store(again.join(shared, "key"), "met")
-    common.discard(shared)
     stars = met.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     first = _links(stars, reps, docs, k, num, den)
 
     # Rows of one doc_id are one node, whatever their sets.
-    many = common.store(member.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x != y").select("doc_id"), "many")
-    own = member.select("doc_id", "set_id").join(many, "doc_id").distinct().join(named, "set_id")
-    same = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
+    many = common.store(member.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x != y").select("doc_id", "x"), "many")
+    same = member.select("doc_id", "set_id").join(many, "doc_id").where("set_id != x").select(F.col("x").alias("a"), F.col("set_id").alias("b")).distinct()
 
-    classes = common.components(first.unionByName(same))
-    comp = classes.select(F.col("id").alias("rep"), F.col("component"))
-    open_ = met.where("members > 2").join(comp, "rep", "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("comp"))
+    comp = common.components(first.unionByName(same)).select(F.col("id").alias("rep"), "component")
+    of_rep = common.store(reps.select("rep", "doc").join(comp, "rep", "left").select("rep", "doc", F.coalesce("component", "rep").alias("comp")), "classes")
+    open_ = met.where("members > 2").select("key", "rep").join(of_rep.select("rep", "comp"), "rep")
     split = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    open_ = common.store(open_.join(split, "key"), "open")
-    of_rep = named.join(comp, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
+    open_ = common.store(open_.join(split, "key").select("rep", "comp"), "open")
+    classes = of_rep
     if not open_.isEmpty():
         more = _links_between_classes(open_, reps, docs, k, num, den)
-        if not more.isEmpty():
-            joined = common.components(more).select(F.col("id").alias("component"), F.col("component").alias("least"))
-            of_rep = of_rep.join(joined, "component", "left").select("set_id", F.coalesce("least", "component").alias("component"))
-    common.discard(met, open_)
-
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(of_rep, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        joined = common.components(more).select(F.col("id").alias("comp"), F.col("component").alias("least"))
+        classes = of_rep.join(joined, "comp", "left").select("rep", "doc", F.coalesce("least", "comp").alias("comp"))
+        common.discard(more)
+    least = classes.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    of_set = classes.join(least, "comp").select(F.col("rep").alias("set_id"), "component_id")
+
+    found = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(of_set, "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = common.store(out, "near_duplicates")
+    common.discard(signed, reps, shared, met, first, many, of_rep, open_)
+    return out
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -361,3 +425,27 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Copies of a set meet the smallest of them; the sets meet over their shingles.
+ORACLE_SQL = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as s from w
+), sets as (
+  select s, min(doc_id) as rep from s where len(s) > 0 group by s
+), e as (
+  select rep, len(s) as n, unnest(s) as g from sets
+), links as (
+  select a.rep as x, b.rep as y from e a join e b on a.g = b.g and a.rep <> b.rep group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach as (
+  select rep as x, rep as y from sets union select reach.x, links.y from reach join links on reach.y = links.x
+), comp as (
+  select x, min(y) as c from reach group by x
+)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(c, s.doc_id) as component_id, s.doc_id = coalesce(c, s.doc_id) as kept
+from s left join sets on s.s = sets.s left join comp on sets.rep = comp.x
+"""

@@ -15,4 +15,9 @@ QUERIES = {
     "op10_template_line_dedup": line_dedup.op10_template_line_dedup,
 }
 
-ORACLE_SQL = {"op1_exact_topk": topk.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_exact_topk": topk.ORACLE_SQL,
+    "op2_minhash_near_dedup": near_dedup.ORACLE_SQL,
+    "op3_secret_ledger": secrets.ORACLE_SQL,
+    "op4_warc_salvage": warc.ORACLE_SQL,
+}
