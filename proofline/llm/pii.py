@@ -13,9 +13,10 @@ and the information that t gives about e, relative to all there is about e, is
     log2(P N / n(e)) / log2(N / n(e)),
 
 below 1, and the lower the fewer texts show it. Pairs seen in at least ``support`` texts count: one text
-can't tell a term from any rare word. Terms that reach ``generalise`` are replaced by their class, those
-that reach ``remove`` are removed, wherever they stand in a document that holds the entity. The
-candidate terms' counts take in every text. Windows are linear in the entities, whatever a document holds.
+can't tell a term from any rare word. Terms that reach ``generalise`` are replaced by their class (a
+name or a word, and its initial), those that reach ``remove`` are removed, wherever they stand in a
+document that holds the entity. The candidate terms' counts take in every text. Windows are linear in
+the entities, whatever a document holds.
 
 Results for odd input: null text is empty text; rows with null or repeated doc_ids keep their rows; an
 empty table gives an empty result; other columns are not looked at.
@@ -92,10 +93,10 @@ def _places(gaps: str, found: str) -> Column:
     return running(steps)
 
 
-def _matches(df: DataFrame, text: Column, pattern: str, when: Column, out: str) -> DataFrame:
+def _matches(df: DataFrame, text: Column, pattern: str | Column, when: Column, out: str) -> DataFrame:
     """Adds ``out``: an array of (start, value) of all matches, ascending."""
     none = F.array().cast("array<string>")
-    df = df.withColumn("_found", F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+    df = df.withColumn("_found", F.when(when, F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))).otherwise(none))
     df = df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(text, pattern, -1)).otherwise(none))
     df = df.withColumn("_at", _places("_gaps", "_found"))
     return df.withColumn(out, F.zip_with("_at", "_found", lambda a, m: F.struct(a.alias("start"), m.alias("value")))).drop("_found", "_gaps", "_at")
@@ -156,23 +157,32 @@ def disclosures(docs: DataFrame, near: DataFrame, support: int, least: float) ->
 
 def occurrences(docs: DataFrame, found: DataFrame, telling: DataFrame) -> DataFrame:
     """Where telling terms stand in the documents that hold their entities: doc_id, key, start, end,
-    share. Words that are part of an entity are left out."""
+    share. Words that are part of an entity are left out. A document is searched once for all its
+    terms, and only texts that may hold an entity are shuffled."""
     each = found.where(F.size("spans") > 0).select("doc_id", "key", F.explode("spans").alias("s"))
     entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
     held = each.select("doc_id", "key", entity.alias("entity")).distinct().join(telling, "entity")
     wanted = common.store(held.groupBy("doc_id", "key", "term").agg(F.max("share").alias("share")), "wanted")
+    terms = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(F.collect_set("term")), "|"), F.lit(r")(?!\p{L})")).alias("terms")
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("all")
-    holders = found.select("key", spans).join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    holders = wanted.groupBy("key").agg(terms).join(found.select("key", spans), "key").dropDuplicates(["key"])
+    holders = common.store(holders, "holders")
+    may = F.lit(False)
+    for kind in KINDS[:4]:
+        may = may | _may_hold(kind, F.col("text"))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("key")
-    whole = docs.select(key, F.concat(F.lit(" "), "text", F.lit(" ")).alias("t")).join(holders, "key").dropDuplicates(["key"])
-    one = _matches(whole, F.col("t"), _TERM, F.lit(True), "words").select("key", "all", F.explode("words").alias("m"))
-    one = one.select("key", "all", F.lower("m.value").alias("term"), (F.col("m.start") - 1).alias("start"), (F.col("m.start") - 1 + F.length("m.value")).alias("end"))
+    texts = docs.where(may).select(key, "text").join(holders, "key").dropDuplicates(["key"])
+    one = _matches(texts, F.col("text"), F.col("terms"), F.lit(True), "words").select("key", "all", F.explode("words").alias("m"))
+    one = one.select("key", "all", F.lower("m.value").alias("term"), F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.value")).alias("end"))
     inside = F.exists("all", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return one.join(wanted, ["key", "term"]).where(~inside).select("doc_id", "key", "start", "end", "share")
+    out = common.store(one.where(~inside).select("key", "term", "start", "end"), "occurrences")
+    out = out.join(wanted, ["key", "term"]).select("doc_id", "key", "start", "end", "share")
+    common.discard(holders)
+    return out
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """doc_id, key, spans: array of (start, kind, end, action) by start and kind. ``action`` is
+    """doc_id, key, spans: array of (start, kind, end, action) by start and kind, as a stored table. ``action`` is
     'remove' for entities; 'remove' or 'generalise' for the terms that disclose them."""
     docs = docs.select("doc_id", "text")
     found = common.store(entities(docs), "entities")
@@ -186,17 +196,22 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: floa
     base = found.select("doc_id", "key", own.alias("base"))
     both = base.join(added, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms")))
-    return both.select("doc_id", "key", spans.alias("spans"))
+    out = common.store(both.select("doc_id", "key", spans.alias("spans")), "personal_data")
+    common.discard(found, near, telling)
+    return out
 
 
 def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with entities replaced by [KIND], removed terms by [REMOVED] and
-    generalised ones by [TERM]. Where spans overlap, the first that starts holds."""
+    generalised ones by their class: [NAME Z*] where they begin with a capital, else [WORD z*]. Where spans
+    overlap, the first that starts holds."""
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
     f = found.select(F.col("doc_id").alias("_proofline_d"), F.col("key").alias("_proofline_k"), F.col("spans").alias("_proofline_s")).dropDuplicates(["_proofline_d", "_proofline_k"])
     rows = docs.join(f, (key == F.col("_proofline_k")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_proofline_d")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    label = lambda s: F.when((s["kind"] == 4) & (s["action"] == "remove"), F.lit("[REMOVED]")).otherwise(F.get(names, s["kind"]))
+    initial = lambda s: F.substr(F.col("text"), (s["start"] + 1).cast("int"), F.lit(1))
+    class_of = lambda s: F.concat(F.when(initial(s).rlike(r"\p{Lu}"), F.lit("[NAME ")).otherwise(F.lit("[WORD ")), initial(s), F.lit("*]"))
+    label = lambda s: F.when(s["kind"] < 4, F.get(names, s["kind"])).when(s["action"] == "remove", F.lit("[REMOVED]")).otherwise(class_of(s))
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
         F.struct(F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), label(s)).alias("out"), s["end"].alias("at"))
@@ -216,4 +231,5 @@ def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_kind = lambda i: lambda s: s["kind"] == i
     counts = [F.size(F.filter("spans", is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     base = spans_text(F.filter("spans", lambda s: s["kind"] < 4))
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    actions = F.array_join(F.transform("spans", lambda s: s["action"]), ",").alias("actions")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), actions)
