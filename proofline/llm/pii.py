@@ -33,6 +33,8 @@ WINDOW = 120
 SUPPORT, PRIOR = 2, 0.5
 GENERALISE, REMOVE = 0.85, 0.95
 _BLOCK = 256
+#: Rows of a table that joins may broadcast: thin rows, so some ten MB.
+SMALL = 1 << 18
 
 #: Kinds in their order, and the patterns the results are stated in.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -138,17 +140,35 @@ def contexts(found: DataFrame) -> DataFrame:
     return one.where(~inside).drop("all")
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """A stored table of ``n`` rows as one side of a join: broadcast where it has few enough."""
+    return F.broadcast(df) if n <= SMALL else df
+
+
+def text_counts(docs: DataFrame, terms: DataFrame, copies: DataFrame) -> DataFrame:
+    """term, n_t: the different texts that hold each of ``terms``. ``copies``: copy, rows. Every row
+    of a text that occurs c times counts 1 / c, so counts combine before their shuffle."""
+    dup = common.store(copies.where("rows > 1").select("copy", (1 / F.col("rows")).alias("part")), "dup")
+    n = terms.count()
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), "text").join(_small(dup, dup.count()), "copy", "left")
+    each = rows.select(F.coalesce("part", F.lit(1.0)).alias("part"), F.explode(words).alias("term"))
+    count = lambda df: df.groupBy("term").agg(F.sum("part").alias("n_t"))
+    counted = count(each.join(F.broadcast(terms), "term")) if n <= SMALL else count(each).join(terms, "term")
+    out = common.store(counted.select("term", F.round("n_t").cast("long").alias("n_t")), "text_counts")
+    common.discard(dup)
+    return out
+
+
 def disclosures(docs: DataFrame, near: DataFrame, support: int, least: float) -> DataFrame:
-    """Pairs (entity, term) whose disclosure reaches ``least``: entity, term, share. One count
-    reaches the driver."""
-    copy = F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy")
-    n = docs.select(copy).distinct().count()
+    """Pairs (entity, term) whose disclosure reaches ``least``: entity, term, share. Counts reach the
+    driver."""
+    copies = common.store(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy")).groupBy("copy").agg(F.count(F.lit(1)).alias("rows")), "copies")
+    n = copies.count()
     of_pair = near.select("entity", "term", "copy").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(f"n_et >= {support}")
     pairs = common.store(of_pair, "pairs")
     of_entity = near.select("entity", "copy").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    candidates = common.store(pairs.select("term").distinct(), "terms")
-    of_term = docs.select(copy, F.explode(words).alias("term")).join(candidates, "term").groupBy("term").agg(F.countDistinct("copy").alias("n_t"))
+    of_term = text_counts(docs, common.store(pairs.select("term").distinct(), "terms"), copies)
     met = pairs.join(of_entity, "entity").join(of_term, "term")
     chance = (F.col("n_et") + PRIOR * F.col("n_e") / n) / (F.greatest("n_t", "n_et") + PRIOR)
     share = 1 + F.log2(chance) / F.log2(F.lit(float(n)) / F.col("n_e"))
