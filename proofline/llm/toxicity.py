@@ -8,7 +8,9 @@ that a long text's ordinary words add nothing to its score.
 *Counterfactuals.* Every identity term of a labelled text is swapped for the next of its group, and
 in a second copy for its group's neutral word. The logistic loss is penalised by the squared change of
 the score between a text and its copies. What a model could learn from *who* is mentioned is thus
-traded away, which is where false positives on neutral mentions come from.
+traded away, which is where false positives on neutral mentions come from. The words of identity terms
+that the sample holds are always features, so the penalty acts on all of them, however little they tell
+about the label; a sample without any identity term is warned of, as its model has no such protection.
 
 Learning uses a bounded sample of labelled rows (MAX_ROWS, chosen by a hash of the doc_id); scores are
 computed for every whole text, in one pass without a shuffle.
@@ -21,6 +23,7 @@ result; other columns are not looked at.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +42,14 @@ DENSE = 32
 L2, COUNTERFACTUAL, STEPS = 0.3, 4.0, 400
 THRESHOLD = 0.3
 
-#: Identity terms by group; the first of a group is its neutral word. A parameter of ``train``.
+#: Identity terms by group; the first of a group is its neutral word. A parameter of ``train``. A term
+#: is in one group only.
 IDENTITY = (
+    ("they", "he", "she"),
+    ("their", "his", "her"),
+    ("iel", "il", "elle"),
+    ("jemand", "er", "sie"),
+    ("alguien", "él", "ella"),
     ("people", "women", "men", "girls", "boys", "females", "males", "transgender"),
     ("person", "woman", "man", "girl", "boy", "female", "male"),
     ("believers", "christians", "muslims", "jews", "hindus", "buddhists", "atheists", "catholics"),
@@ -115,6 +124,7 @@ class Model:
     occurs: np.ndarray
     dense: np.ndarray
     intercept: float
+    counterfactuals: int = 0
 
     def __post_init__(self):
         self.there = words.member_of(self.features)
@@ -126,14 +136,27 @@ class Model:
         key, n = np.unique(d[at] * max(1, len(self.features)) + place, return_counts=True)
         return key // max(1, len(self.features)), key % max(1, len(self.features)), n
 
+    def _scores(self, w: Words, kinds: list[np.ndarray] | None = None) -> np.ndarray:
+        doc, f, n = self.counts(w, kinds)
+        density = np.minimum(1, n * DENSE / np.maximum(8, w.count[doc]))
+        z = self.intercept + np.bincount(doc, self.occurs[f] + self.dense[f] * density, minlength=w.n)
+        return 1 / (1 + np.exp(-z))
+
     def score(self, texts: pa.Array) -> np.ndarray:
         out = np.empty(len(texts))
+        for g in words.groups(texts):
+            out[g.first : g.first + g.n] = self._scores(Words(g))
+        return out
+
+    def gap(self, texts: pa.Array, swaps: Swaps) -> np.ndarray:
+        """How far each text's score is from that of its furthest counterfactual."""
+        out = np.zeros(len(texts))
         for g in words.groups(texts):
             w = Words(g)
-            doc, f, n = self.counts(w)
-            density = np.minimum(1, n * DENSE / np.maximum(8, w.count[doc]))
-            z = self.intercept + np.bincount(doc, self.occurs[f] + self.dense[f] * density, minlength=g.n)
-            out[g.first : g.first + g.n] = 1 / (1 + np.exp(-z))
+            own = self._scores(w)
+            for kinds in w.swapped(swaps):
+                part = out[g.first : g.first + g.n]
+                np.maximum(part, np.abs(self._scores(w, kinds) - own), out=part)
         return out
 
 
@@ -157,8 +180,18 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(p), pa.array(np.bincount(at, minlength=len(f)) - p)], names=["feature", "p", "n"])
 
 
+def _dense(k: int, f: np.ndarray, n: np.ndarray, count: int) -> np.ndarray:
+    """A text's vector: whether each feature occurs, then how dense it is."""
+    v = np.zeros(2 * k, dtype=np.float32)
+    v[f] = 1
+    v[k + f] = np.minimum(1, n * DENSE / max(8, count))
+    return v
+
+
 def _vectors(features: np.ndarray, swaps: Swaps):
-    blank = Model(features, np.zeros(0), np.zeros(0), 0.0)
+    """Of each text its features and their counts; of each counterfactual that changes any, where its
+    vector differs from the text's (copy > 0: places and differences)."""
+    blank, k = Model(features, np.zeros(0), np.zeros(0), 0.0), len(features)
     types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,15 +199,23 @@ def _vectors(features: np.ndarray, swaps: Swaps):
             toxic = b.column("toxic").to_numpy()
             for g in words.groups(b.column("text")):
                 w = Words(g)
-                rows = []
+                rows: list[tuple] = []
+                own: list[np.ndarray] = []
                 for copy, kinds in enumerate([w.kinds, *w.swapped(swaps)]):
                     doc, f, n = blank.counts(w, kinds)
                     bound = np.searchsorted(doc, np.arange(g.n + 1))
                     for i in range(g.n):
                         s = slice(bound[i], bound[i + 1])
-                        rows.append((i, copy, toxic[g.first + i], w.count[i], f[s].astype(np.int32).tobytes(), n[s].astype(np.int32).tobytes()))
-                rows.sort(key=lambda r: r[:2])
-                yield pa.RecordBatch.from_arrays([pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)], names=["copy", "toxic", "words", "f", "n"])
+                        v = _dense(k, f[s], n[s], int(w.count[i]))
+                        if copy == 0:
+                            own.append(v)
+                            rows.append((0, toxic[g.first + i], w.count[i], f[s].astype(np.int32).tobytes(), n[s].astype(np.int32).tobytes()))
+                            continue
+                        d = v - own[i]
+                        at = np.flatnonzero(d)
+                        if len(at):
+                            rows.append((copy, toxic[g.first + i], w.count[i], at.astype(np.int32).tobytes(), d[at].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["copy", "toxic", "words", "f", "n"])
 
     return run
 
@@ -221,13 +262,15 @@ def held_out(doc_id: str | Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = COUNTERFACTUAL) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of rows that are not held out. At most about
     ``max_rows`` labelled rows are used; they reach the driver as counts of at most MAX_FEATURES
-    features."""
+    features and the identity terms' own, their counterfactuals as what they change."""
     spark = docs.sparkSession
     lab = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = lab.count()
     part = min(1.0, max_rows / max(1, n))
     chosen = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))).limit(2 * max_rows)
-    sample = common.store(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+    chosen = chosen.select(F.col("doc_id").alias("_proofline_d"), "toxic")
+    own = docs.select(F.col("doc_id").alias("_proofline_d"), "text")
+    sample = common.store(own.join(F.broadcast(chosen), "_proofline_d").select("text", "toxic"), "labelled")
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = size.get(1, 0), sum(v for k, v in size.items() if k != 1)
     none = np.zeros(0)
@@ -238,29 +281,30 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, identity
     x = lambda c: F.when(c > 0, c * F.log(c.cast("double"))).otherwise(0.0)
     p, q = F.col("p"), F.col("n")
     ratio = 2 * (x(p) + x(q) + x(pos - p) + x(neg - q) - x(p + q) - x((pos + neg) - p - q) + x(F.lit(pos + neg)) - x(F.lit(pos)) - x(F.lit(neg)))
-    best = counted.withColumn("g", ratio).where(f"g >= {LEAST_RATIO}").orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).select("feature").collect()
-    features = np.sort(np.array([r["feature"] for r in best], dtype=np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_vectors(features, Swaps(identity)), "copy int, toxic int, words long, f binary, n binary").collect()
+    counted = common.store(counted.withColumn("g", ratio), "features")
+    best = counted.where(f"g >= {LEAST_RATIO}").orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).select("feature").collect()
+    swaps = Swaps(identity)
+    named = counted.where(F.col("feature").isin(*swaps.table.view(np.int64).tolist())).select("feature").collect() if len(swaps.table) else []
+    features = np.unique(np.array([r["feature"] for r in [*best, *named]], dtype=np.int64).view(np.uint64))
+    with common.text_batches(spark):
+        rows = sample.mapInArrow(_vectors(features, swaps), "copy int, toxic int, words long, f binary, n binary").collect()
     k = len(features)
-    texts = sum(r["copy"] == 0 for r in rows)
-    x, y, gram = np.zeros((texts, 2 * k), dtype=np.float32), np.zeros(texts), np.zeros((2 * k, 2 * k), dtype=np.float32)
-    i, copies = -1, 0
-    for r in rows:  # a text, then its counterfactuals
-        f, c = np.frombuffer(r["f"], dtype=np.int32), np.frombuffer(r["n"], dtype=np.int32)
-        v = np.zeros(2 * k, dtype=np.float32)
-        v[f] = 1
-        v[k + f] = np.minimum(1, c * DENSE / max(8, r["words"]))
+    vectors, y, gram, copies = [], [], np.zeros((2 * k, 2 * k), dtype=np.float32), 0
+    for r in rows:
+        f = np.frombuffer(r["f"], dtype=np.int32)
         if r["copy"] == 0:
-            i += 1
-            x[i], y[i] = v, r["toxic"] == 1
-            continue
-        d = v - x[i]
-        at = np.flatnonzero(d)
-        gram[np.ix_(at, at)] += np.outer(d[at], d[at])
-        copies += len(at) > 0
-    w, b = fit(x, y, gram, copies, L2, penalty, STEPS)
-    common.discard(sample)
-    return Model(features, w[:k], w[k:], b)
+            vectors.append(_dense(k, f, np.frombuffer(r["n"], dtype=np.int32), r["words"]))
+            y.append(r["toxic"] == 1)
+        else:
+            d = np.frombuffer(r["n"], dtype=np.float32)
+            gram[np.ix_(f, f)] += np.outer(d, d)
+            copies += 1
+    del rows
+    if not copies:
+        warnings.warn("no identity term occurs in the labelled texts: the counterfactual penalty has nothing to act on", stacklevel=2)
+    w, b = fit(np.array(vectors, dtype=np.float32), np.array(y), gram, copies, L2, penalty, STEPS)
+    common.discard(sample, counted)
+    return Model(features, w[:k], w[k:], b, copies)
 
 
 def scorer(spark: SparkSession, model: Model):
