@@ -17,7 +17,7 @@ texts, these are rare ones, so texts that merely share boilerplate don't meet. T
 shingles connect form a group, dealt into blocks by size and hash; each pair of blocks whose sizes allow
 a link counts its shared shingles as a product of two small matrices. Only links that join two classes
 come out, so copies of one text or one template cost a link each, no pair becomes a row, and nothing is
-capped. What stays quadratic, in arithmetic and in copies of sets (one per block of BLOCK texts), is a
+capped. What stays quadratic, in arithmetic and in copies of sets (one per block of BLOCK shingles), is a
 group of texts that share rare shingles with each other and still are not linked.
 
 *Confirmation.* Candidates whose sizes or signatures rule a link out are dropped; the rest are
@@ -43,10 +43,12 @@ from . import common, words
 
 PLACES = 112
 MISS = 1e-6
-#: Texts of a block, and shingles that are counted at a time.
-BLOCK, COLUMNS = 512, 4096
-#: Slots that open texts' shingles are counted in.
-SLOTS = 1 << 20
+#: Shingles of a block of texts, texts that make another block while a group has few, and how few.
+BLOCK, SPREAD, PARTS = 1 << 20, 128, 16
+#: Shingles of a block that are compared at a time.
+COLUMNS = 4096
+#: Slots that open texts' shingles are counted in, and slots of a row of counts.
+SLOTS, SLOT_ROW = 1 << 20, 1 << 12
 
 _rng = np.random.default_rng(20240229)
 _WORD = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -312,14 +314,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.column("members"):
             n += np.bincount(_slot(np.frombuffer(x.as_buffer(), dtype=np.uint64)), minlength=SLOTS)
     at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(at // SLOT_ROW), pa.array(at % SLOT_ROW), pa.array(n[at])], names=["row", "slot", "n"])
+
+
+def rank(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes: the same order, exact up to 16, coarser above."""
+    high = 16 + np.floor(16 * np.log2(np.maximum(n, 16) / 16))
+    return np.where(n < 16, n, np.minimum(high, 255)).astype(np.uint8)
+
+
+def _packed(t: pa.Table) -> pa.Table:
+    out = np.zeros(SLOT_ROW, dtype=np.uint8)
+    out[t.column("slot").to_numpy()] = rank(t.column("n").to_numpy())
+    return pa.table([t.column("row")[:1], pa.array([out.tobytes()], pa.binary())], names=["row", "counts"])
 
 
 def first_shingles(u: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first of a set's shingles in the order of (count of the slot, shingle): a linked set has
-    one of them among its own first. Those that no other set has are left out."""
+    """The first of a set's shingles (ascending) in the order of (rank of the slot's count, shingle): a
+    linked set has one of them among its own first. Those that no other set has are left out."""
     n = counts[_slot(u)]
-    order = np.lexsort((u, n))[: len(u) - -(-num * len(u) // den) + 1]
+    order = np.argsort(n, kind="stable")[: len(u) - -(-num * len(u) // den) + 1]
     return u[order][n[order] > 1]
 
 
@@ -335,23 +349,25 @@ def _firsts(counts, num: int, den: int):
 
 
 def _links_between_classes(open_: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``open_``: rep, comp. A stored table of links between classes (a, b). Counts of SLOTS slots
-    reach the driver."""
+    """``open_``: rep, comp. A stored table of links between classes (a, b). A byte for each of SLOTS
+    slots reaches the driver."""
     spark = docs.sparkSession
     texts = common.store(open_.distinct().join(reps.select("rep", "doc", "n"), "rep"), "texts")
     sets = _sets(texts.select("rep", "doc"), docs, k)
-    counts = np.zeros(SLOTS, dtype=np.uint32)
-    got = sets.mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.least(F.sum("n"), F.lit((1 << 32) - 1)).alias("n")).toArrow()
-    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    counts = np.zeros(SLOTS, dtype=np.uint8)
+    summed = sets.mapInArrow(_counted, "row long, slot long, n long").groupBy("row", "slot").agg(F.sum("n").alias("n"))
+    for r in summed.groupBy("row").applyInArrow(_packed, "row long, counts binary").collect():
+        counts[r["row"] * SLOT_ROW : (r["row"] + 1) * SLOT_ROW] = np.frombuffer(r["counts"], dtype=np.uint8)
     firsts = common.store(sets.mapInArrow(_firsts(spark.sparkContext.broadcast(counts), num, den), "shingle long, rep long").join(texts.select("rep", "comp"), "rep"), "firsts")
     shared = common.store(firsts.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("lead")).where("x != y").select("shingle", "lead"), "shared")
     met = firsts.join(shared, "shingle").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     groups = common.components(met)
     # Sizes that allow a link are a class apart at most.
     size = F.floor(F.log(F.col("n")) / math.log(den / num)).cast("int") if num < den else F.col("n").cast("int")
-    own = texts.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")), "rep").select("rep", "comp", "grp", size.alias("size"))
+    own = texts.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")), "rep").select("rep", "comp", "grp", "n", size.alias("size"))
     own = common.store(own, "own")
-    parts = own.groupBy("grp", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    parts = F.greatest(F.ceil(F.sum("n") / BLOCK), F.least(F.lit(PARTS), F.ceil(F.count(F.lit(1)) / SPREAD)))
+    parts = own.groupBy("grp", "size").agg(parts.cast("int").alias("parts"))
     dealt = own.join(parts, ["grp", "size"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     there = parts.select("grp", F.col("size").alias("other"), F.col("parts").alias("others"))
     near = F.expr("other between size - 1 and size + 1")
