@@ -1,21 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval (operator 9).
 
-*Passages.* Documents are read in windows of WIDTH words, every half window. Only words of the
-benchmark can match, so a window is the sparse vector of those, weighted by inverse document frequency
-over all documents. A window is set aside when even the most favourable reading of its words (for
-each word, the largest share it has of any item's weight) stays below GATE: it can't hold that part
-of any item.
-
-*Latent space.* A randomised SVD of the windows' TF-IDF matrix, with the items' own vectors stacked
-below in equal total weight so that no item's direction is lost: partitions multiply their rows with
-a common random matrix, the products are summed by blocks of rows, and the driver orthonormalises a
-matrix of at most (words of ITEMS items) x (items + EXTRA), twice. Benchmarks of any size go through in
-blocks of about ITEMS items.
-
-*Search and checks.* Windows whose cosine with an item reaches COSINE in that space are candidates. A
-candidate is a match if the longest common subsequence of the item and the window's surroundings covers
-COPY of the item's words, or PARAPHRASE of them with a cosine of CLOSE and the answer (the item's last
-words) in order too.
+*Passages.* Documents are read in windows of WIDTH words, every half window; items are cut into passages
+of WIDTH words. Only words of the benchmark can match, so a window is the sparse vector of those,
+weighted by inverse document frequency over all documents. A window is set aside unless it holds at
+least REACH of some passage's weight; a looser bound, which needs no sum per passage, goes first (GATE).
+
+*Latent space.* A randomised SVD of the windows' TF-IDF matrix, with the passages' own vectors stacked
+below in equal total weight so that no passage's direction is lost: tasks multiply their rows with a
+common random matrix, the products are summed by blocks of rows, FAN at a time and level by level, and
+the driver orthonormalises a matrix of at most (words of PASSAGES passages) x (passages + EXTRA), twice.
+Benchmarks of any size go through in blocks of about PASSAGES passages, however long their items are;
+ROUND blocks share one reading of the corpus for frequencies and one for windows.
+
+*Search and checks.* Windows whose cosine with a passage reaches COSINE in that space are candidates. A
+candidate is a match if the longest common subsequence of the passage and the window's surroundings
+covers COPY of the passage's words, or PARAPHRASE of them with a cosine of CLOSE and the answer (the
+passage's last words) in order too.
 
 Results for odd input: null texts are empty; items of fewer than LEAST words can't be told from
 chance and match nothing; rows with a null doc_id are never reported; long items are matched by any of
@@ -29,22 +29,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, words
 
 WIDTH, HALF = 64, 32
-ITEMS, EXTRA = 256, 32
+PASSAGES, EXTRA, ROUND = 256, 32, 16
 LEAST, ANSWER = 6, 4
-GATE, COSINE, CLOSE = 0.4, 0.5, 0.7
-COPY, PARAPHRASE = 0.6, 0.45
-ROWS = 512
+GATE, REACH, COSINE, CLOSE = 0.4, 0.3, 0.5, 0.6
+COPY, PARAPHRASE = 0.5, 0.4
+#: Words of a block of rows; partial sums added at a time; tasks of a product; windows multiplied at a time.
+ROWS, FAN, TASKS, STEP = 512, 32, 1024, 512
 
 
 @dataclass
 class Query:
-    """A block of the benchmark: passages (item, word places in the vocabulary) and word weights."""
+    """A block of passages: item and word places in the vocabulary of each, and word weights."""
 
     items: list
     passages: list[np.ndarray]
@@ -55,28 +57,32 @@ class Query:
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Query:
-        items, found = [], []
-        for item, text in rows:
-            for g in words.groups(pa.array([text or ""])):
-                low = words.fold_letters(g.raw)
-                h = words.span_hashes(low, *g.cut(words.PUNCT, low)[:2])
-                starts = list(range(0, len(h), WIDTH))
-                if len(starts) > 1 and len(h) - starts[-1] < WIDTH // 4:
-                    starts.pop()
-                for a, b in zip(starts, [*starts[1:], len(h)]):
-                    if b - a >= LEAST:
-                        items.append(item)
-                        found.append(h[a:b])
+        """``rows``: item, word hashes of a passage."""
+        found = [np.frombuffer(w, dtype=np.uint64) for _, w in rows]
         vocabulary = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
-        return cls(items, [np.searchsorted(vocabulary, x) for x in found], vocabulary, words.member_of(vocabulary))
+        return cls([i for i, _ in rows], [np.searchsorted(vocabulary, x) for x in found], vocabulary, words.member_of(vocabulary))
 
     def weigh(self, docs: int, df: np.ndarray) -> None:
         self.idf = np.maximum(np.log((1 + docs) / (1 + df)), 0.05)
         self.gain = np.zeros(len(self.vocabulary))
+        for u, own in self._shares():
+            self.gain[u] = np.maximum(self.gain[u], own)
+
+    def _shares(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for p in self.passages:
             u = np.unique(p)
             own = self.idf[u] ** 2
-            self.gain[u] = np.maximum(self.gain[u], own / own.sum())
+            yield u, own / own.sum()
+
+    def shares(self) -> np.ndarray:
+        """Words x passages: the part of each passage's weight that a word has. Made where it is used."""
+        out = self.__dict__.get("_dense")
+        if out is None:
+            out = np.zeros((len(self.vocabulary), len(self.passages)), dtype=np.float32)
+            for i, (u, own) in enumerate(self._shares()):
+                out[u, i] = own
+            self.__dict__["_dense"] = out
+        return out
 
     def vector(self, ids: np.ndarray) -> np.ndarray:
         v = np.zeros(len(self.vocabulary))
@@ -85,105 +91,207 @@ class Query:
         return v / max(np.linalg.norm(v), 1e-12)
 
 
-class Hits:
-    """The benchmark's words in a group of texts."""
+class Text:
+    """The word hashes of a group of texts."""
 
-    def __init__(self, g: words.Group, q: Query):
+    def __init__(self, g: words.Group):
         low = words.fold_letters(g.raw)
-        starts, ends, doc = g.cut(words.PUNCT, low)
-        count = np.bincount(doc, minlength=g.n)
-        first = np.concatenate(([0], np.cumsum(count)))
-        at, self.id = words.look_up(words.span_hashes(low, starts, ends), q.vocabulary, q.there)
-        self.doc = doc[at]
-        self.place = at - first[self.doc]
-        self.count = count
+        starts, ends, self.doc = g.cut(words.PUNCT, low)
+        self.hash = words.span_hashes(low, starts, ends)
+        self.count = np.bincount(self.doc, minlength=g.n)
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+
+
+class Hits:
+    """A query's words in a group of texts."""
+
+    def __init__(self, t: Text, q: Query):
+        at, self.id = words.look_up(t.hash, q.vocabulary, q.there)
+        self.doc = t.doc[at]
+        self.place = at - t.first[self.doc]
+        self.count = t.count
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for g in words.groups(b.column("text")):
+            t = Text(g)
+            row, found = [], []
+            for i in np.flatnonzero(t.count >= LEAST):
+                own = t.hash[t.first[i] : t.first[i + 1]]
+                starts = list(range(0, len(own), WIDTH))
+                if len(starts) > 1 and len(own) - starts[-1] < WIDTH // 4:
+                    starts.pop()
+                for a, z in zip(starts, [*starts[1:], len(own)]):
+                    row.append(g.first + i)
+                    found.append(own[a:z].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("item").take(pa.array(row, pa.int64())), pa.array(found, pa.binary())], names=["item", "words"])
 
 
-def _frequencies(q: Query):
+def _frequencies(queries):
+    """Documents that hold each word, by block; the number of documents as word -1 of the first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(len(q.vocabulary), dtype=np.int64)
+        n, df = 0, [np.zeros(len(q.vocabulary), dtype=np.int64) for q in queries.value]
         for b in batches:
             n += b.num_rows
             for g in words.groups(b.column("text")):
-                x = Hits(g, q)
-                df += np.bincount(np.unique(x.doc * len(df) + x.id) % len(df), minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([n, *df[some].tolist()], pa.int64())], names=["id", "n"])
+                t = Text(g)
+                for d, q in zip(df, queries.value):
+                    x = Hits(t, q)
+                    d += np.bincount(np.unique(x.doc * len(d) + x.id) % len(d), minlength=len(d))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([-1], pa.int64()), pa.array([n], pa.int64())], names=["block", "id", "n"])
+        for k, d in enumerate(df):
+            some = np.flatnonzero(d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, dtype=np.int32)), pa.array(some), pa.array(d[some])], names=["block", "id", "n"])
 
     return run
 
 
-def _windows(q: Query):
-    """Windows that may hold a part of an item, with the benchmark's words in and around them."""
+def _ranges(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges [a, z), one after the other, and where each range begins among them."""
+    offsets = np.concatenate(([0], np.cumsum(z - a)))
+    return np.arange(offsets[-1]) - np.repeat(offsets[:-1] - a, z - a), offsets
+
+
+def _within(x: Hits, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each (document, places from lo to hi): the hits' range."""
+    wide = np.int64(1) << 32
+    key = x.doc * wide + x.place
+    return np.searchsorted(key, doc * wide + np.maximum(lo, 0)), np.searchsorted(key, doc * wide + np.maximum(hi, 0))
+
+
+def _windows(queries):
+    """Windows that may hold a part of a passage, with the benchmark's words in and around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g in words.groups(b.column("text")):
-                x = Hits(g, q)
-                halves = np.maximum(1, -(-x.count // HALF))
+                t = Text(g)
+                halves = np.maximum(1, -(-t.count // HALF))
                 base = np.concatenate(([0], np.cumsum(halves)))
-                gain = np.bincount(base[x.doc] + x.place // HALF, q.gain[x.id], minlength=base[-1] + 1)
-                both = gain[:-1] + np.where(np.isin(np.arange(1, base[-1] + 1), base), 0, gain[1:])
-                rows = []
-                for w in np.flatnonzero(both >= GATE):
-                    doc = int(np.searchsorted(base, w, side="right")) - 1
-                    start = int(w - base[doc]) * HALF
-                    if start and start + HALF >= x.count[doc]:
-                        continue  # the last half alone: the window before holds it
-                    lo, hi = np.searchsorted(x.doc, [doc, doc + 1])
-                    a, z = lo + np.searchsorted(x.place[lo:hi], [start - WIDTH, start + 2 * WIDTH])
-                    rows.append((g.first + doc, start, x.place[a:z].astype(np.int32).tobytes(), x.id[a:z].astype(np.int32).tobytes()))
-                if rows:
-                    row, start, place, ids = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), b.column("key").take(pa.array(row)), pa.array(start, pa.int32()), pa.array(place, pa.binary()), pa.array(ids, pa.binary())], names=["doc_id", "key", "start", "place", "ids"])
+                last = np.isin(np.arange(1, base[-1] + 1), base)
+                for block, q in enumerate(queries.value):
+                    x = Hits(t, q)
+                    gain = np.bincount(base[x.doc] + x.place // HALF, q.gain[x.id], minlength=base[-1] + 1)
+                    w = np.flatnonzero(gain[:-1] + np.where(last, 0, gain[1:]) >= GATE)
+                    doc = np.searchsorted(base, w, side="right") - 1
+                    start = (w - base[doc]) * HALF
+                    keep = (start == 0) | (start + HALF < t.count[doc])  # the last half alone: the window before holds it
+                    doc, start = doc[keep], start[keep]
+                    best = np.zeros(len(doc), dtype=np.float32)
+                    a, z = _within(x, doc, start, start + WIDTH)
+                    for i in range(0, len(doc), STEP):
+                        at, offsets = _ranges(a[i : i + STEP], z[i : i + STEP])
+                        row, ids = _once(x.id[at], offsets, len(q.vocabulary))
+                        best[i : i + STEP] = _sums(q.shares()[ids], row, len(offsets) - 1).max(axis=1, initial=0)
+                    doc, start = doc[best >= REACH], start[best >= REACH]
+                    if len(doc):
+                        at, offsets = _ranges(*_within(x, doc, start - WIDTH, start + 2 * WIDTH))
+                        of = pa.array(offsets.astype(np.int32))
+                        row = pa.array(g.first + doc)
+                        lists = [pa.ListArray.from_arrays(of, pa.array(v[at].astype(np.int32))) for v in (x.place, x.id)]
+                        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("key").take(row), pa.array(np.full(len(doc), block, dtype=np.int32)), pa.array(start.astype(np.int32)), *lists], names=["doc_id", "key", "block", "start", "place", "ids"])
 
     return run
 
 
-def _cores(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, the words of its window (each once), and places and words of its surroundings."""
-    for i in range(b.num_rows):
-        place = np.frombuffer(b.column("place")[i].as_buffer(), dtype=np.int32)
-        ids = np.frombuffer(b.column("ids")[i].as_buffer(), dtype=np.int32)
-        start = b.column("start")[i].as_py()
-        yield i, np.unique(ids[(place >= start) & (place < start + WIDTH)]), place, ids
+def _once(ids: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and word, each pair once, by row; rows are given by their offsets in ``ids``."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    pair = np.unique(row * np.int64(max(1, n)) + ids)
+    return pair // max(1, n), pair % max(1, n)
+
 
+def _sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by ``row`` (ascending), for n rows."""
+    out = np.zeros((n, values.shape[1]), dtype=values.dtype)
+    if len(row):
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        out[row[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
+class Windows:
+    """Some windows of an Arrow batch: their words, each once and weighted to length 1, and the words
+    around them."""
+
+    def __init__(self, b: pa.RecordBatch, q: Query):
+        self.n = b.num_rows
+        place, ids = b.column("place"), b.column("ids")
+        self.place, self.ids = place.flatten().to_numpy(), ids.flatten().to_numpy()
+        self.offsets = np.concatenate(([0], np.cumsum(place.value_lengths().to_numpy()))).astype(np.int64)
+        self.start = b.column("start").to_numpy()
+        own = np.repeat(self.start, np.diff(self.offsets))
+        inside = (self.place >= own) & (self.place < own + WIDTH)
+        offsets = np.concatenate(([0], np.cumsum(inside)))[self.offsets]
+        self.row, self.word = _once(self.ids[inside], offsets, len(q.vocabulary))
+        weight = q.idf[self.word]
+        norm = np.sqrt(np.bincount(self.row, weight**2, minlength=self.n))
+        self.weight = (weight / np.maximum(norm[self.row], 1e-12)).astype(np.float32)
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        return _sums(self.weight[:, None] * right[self.word], self.row, self.n)
+
+
+def _parts(batches: Iterator[pa.RecordBatch], q: Query) -> Iterator[tuple[pa.RecordBatch, Windows]]:
+    for b in batches:
+        for i in range(0, b.num_rows, STEP):
+            part = b.slice(i, STEP)
+            yield part, Windows(part, q)
 
-def _product(q: Query, right):
-    """A' A R of a partition's rows, in blocks of rows."""
+
+PARTIAL = "task int, block int, part binary, rows long"
+
+
+def _product(shared):
+    """A' A R of a task's rows, in blocks of rows; blocks that no window touches are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = right.value
-        out, rows = np.zeros(r.shape), 0
-        for b in batches:
-            for _, core, _, _ in _cores(b):
-                v = q.idf[core]
-                v = v / max(np.linalg.norm(v), 1e-12)
-                out[core] += v[:, None] * (v @ r[core])[None, :]
-                rows += 1
-        if rows:
-            blocks = range(0, len(out), ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array([k // ROWS for k in blocks], pa.int32()), pa.array([out[k : k + ROWS].astype(np.float32).tobytes() for k in blocks], pa.binary()), pa.array([rows] * len(blocks), pa.int64())], names=["block", "part", "rows"])
+        q, r = shared.value
+        out, rows = np.zeros(r.shape, dtype=np.float32), 0
+        for _, w in _parts(batches, q):
+            y = w.times(r)
+            order = np.argsort(w.word, kind="stable")
+            word = w.word[order]
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else word
+            if len(word):
+                out[word[first]] += np.add.reduceat(w.weight[order][:, None] * y[w.row[order]], first, axis=0)
+            rows += w.n
+        blocks = [k for k in range(0, len(out), ROWS) if rows and (k == 0 or out[k : k + ROWS].any())]
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([task] * len(blocks), pa.int32()), pa.array([k // ROWS for k in blocks], pa.int32()), pa.array([out[k : k + ROWS].tobytes() for k in blocks], pa.binary()), pa.array([rows] * len(blocks), pa.int64())],
+            names=["task", "block", "part", "rows"],
+        )
 
     return run
 
 
 def _add(t: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in t.column("part").to_pylist())
-    return pa.table([pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([sum(t.column("rows").to_pylist())], pa.int64())], names=["block", "part", "rows"])
+    first = [t.column(c)[0].as_py() for c in ("task", "block")]
+    return pa.table([pa.array(first[:1], pa.int32()), pa.array(first[1:], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([sum(t.column("rows").to_pylist())], pa.int64())], names=["task", "block", "part", "rows"])
 
 
 def latent_space(windows: DataFrame, q: Query) -> np.ndarray:
-    """Right singular vectors (words x dimensions) of the windows' and the items' TF-IDF rows."""
+    """Right singular vectors (words x dimensions) of the windows' and the passages' TF-IDF rows. No
+    task adds more than FAN partial sums; at most TASKS of them are made, whatever the corpus holds."""
     spark = windows.sparkSession
     n = len(q.vocabulary)
     k = min(n, len(q.passages) + EXTRA)
     own = np.array([q.vector(p) for p in q.passages])
+    rows = windows.coalesce(TASKS)
+    tasks = rows.rdd.getNumPartitions()
 
     def times(right: np.ndarray) -> np.ndarray:
-        schema = "block int, part binary, rows long"
-        shared = spark.sparkContext.broadcast(right)
-        blocks = windows.mapInArrow(_product(q, shared), schema).groupBy("block").applyInArrow(_add, schema).collect()
+        shared = spark.sparkContext.broadcast((q, right.astype(np.float32)))
+        parts, left = rows.mapInArrow(_product(shared), PARTIAL), tasks
+        while left > 1:
+            left = -(-left // FAN)
+            parts = parts.withColumn("task", (F.col("task") / FAN).cast("int")).groupBy("task", "block").applyInArrow(_add, PARTIAL)
+        blocks = parts.collect()
+        shared.destroy()
         out = np.zeros((n, k))
         for r in blocks:
             part = np.frombuffer(r["part"], dtype=np.float32).reshape(-1, k)
@@ -216,32 +324,29 @@ def _bits(ids: np.ndarray) -> dict[int, int]:
     return out
 
 
-def _matches(q: Query, space):
-    schema = ["doc_id", "key", "item", "cosine", "coverage"]
+def _matches(shared):
+    schema = ["doc_id", "key", "passage", "cosine", "coverage"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = space.value
+        q, v = shared.value
         own = np.array([q.vector(p) @ v for p in q.passages])
-        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+        own = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         masks = [_bits(p) for p in q.passages]
         tails = [_bits(p[-ANSWER:]) for p in q.passages]
-        for b in batches:
+        for b, w in _parts(batches, q):
+            y = w.times(v)
+            cosine = y @ own.T / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
             rows: list[tuple] = []
-            for i, core, place, ids in _cores(b):
-                if not len(core):
-                    continue
-                y = q.idf[core] @ v[core]
-                cosine = own @ (y / max(np.linalg.norm(y), 1e-12))
-                start = b.column("start")[i].as_py()
-                for c in np.flatnonzero(cosine >= COSINE).tolist():
-                    n = len(q.passages[c])
-                    edge = n // 2 + 8
-                    lo, hi = np.searchsorted(place, [start - edge, start + WIDTH + edge])
-                    near = ids[lo:hi].tolist()
-                    share = common_subsequence(masks[c], n, near) / n
-                    answer = min(ANSWER, n)
-                    if share >= COPY or share >= PARAPHRASE and cosine[c] >= CLOSE and common_subsequence(tails[c], answer, near) == answer:
-                        rows.append((i, c, float(cosine[c]), share))
+            for i, c in np.argwhere(cosine >= COSINE).tolist():
+                n = len(q.passages[c])
+                edge = n // 2 + 8
+                place = w.place[w.offsets[i] : w.offsets[i + 1]]
+                lo, hi = w.offsets[i] + np.searchsorted(place, [w.start[i] - edge, w.start[i] + WIDTH + edge])
+                near = w.ids[lo:hi].tolist()
+                share = common_subsequence(masks[c], n, near) / n
+                answer = min(ANSWER, n)
+                if share >= COPY or share >= PARAPHRASE and cosine[i, c] >= CLOSE and common_subsequence(tails[c], answer, near) == answer:
+                    rows.append((i, c, float(cosine[i, c]), share))
             if rows:
                 at = pa.array([r[0] for r in rows])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("key").take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows])], names=schema)
@@ -251,43 +356,53 @@ def _matches(q: Query, space):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, item: str = "item_id") -> DataFrame:
     """Matches between ``docs`` (doc_id, text) and ``benchmark`` (item, text): doc_id, key (of the
-    text), item_id, cosine, coverage; a row for each document and item that match, as a stored table.
-    Items reach the driver in blocks of about ITEMS, their words' frequencies and latent space too."""
+    text), item_id, cosine, coverage; a row for each document and item that match, from stored tables.
+    Passages reach the driver in rounds of ROUND blocks, their words' frequencies and latent spaces too."""
     with common.text_batches(docs.sparkSession):
         return _contaminated(docs, benchmark, item)
 
 
 def _contaminated(docs: DataFrame, benchmark: DataFrame, item: str) -> DataFrame:
-    spark = docs.sparkSession
+    spark: SparkSession = docs.sparkSession
     text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     asked = benchmark.where(F.col(item).isNotNull() & F.col("text").isNotNull()).select(F.col(item).alias("item"), "text").distinct()
     kind = asked.schema["item"].dataType.simpleString()
-    blocks = -(-asked.count() // ITEMS)
+    passages = common.store(asked.mapInArrow(_passages, f"item {kind}, words binary").distinct(), "passages")
+    blocks = -(-passages.count() // PASSAGES)
+    passages_of = passages.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(max(1, blocks))))
     schema = f"doc_id long, key long, item_id {kind}, cosine double, coverage double"
     found = []
-    for k in range(blocks):
-        q = Query.of([tuple(r) for r in asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()])
-        if not q.items:
+    for first in range(0, blocks, ROUND):
+        here: dict[int, list] = {}
+        for r in passages_of.where(F.col("block").between(first, first + ROUND - 1)).orderBy("block", "item", "words").collect():
+            here.setdefault(r["block"], []).append((r["item"], bytes(r["words"])))
+        queries = [Query.of(rows) for _, rows in sorted(here.items())]
+        if not queries:
             continue
-        df = np.zeros(len(q.vocabulary), dtype=np.int64)
-        n = 0
-        for r in docs.select("text").mapInArrow(_frequencies(q), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        df, n = [np.zeros(len(q.vocabulary), dtype=np.int64) for q in queries], 0
+        counted = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(queries)), "block int, id long, n long")
+        for r in counted.groupBy("block", "id").agg(F.sum("n").alias("n")).collect():
             if r["id"] < 0:
                 n = r["n"]
             else:
-                df[r["id"]] = r["n"]
-        q.weigh(n, df)
-        windows = common.store(text.mapInArrow(_windows(q), "doc_id long, key long, start int, place binary, ids binary"), "windows")
-        space = spark.sparkContext.broadcast(latent_space(windows, q))
-        hits = windows.mapInArrow(_matches(q, space), "doc_id long, key long, item int, cosine double, coverage double")
-        names = spark.createDataFrame(list(enumerate(q.items)), f"item int, item_id {kind}")
-        best = hits.join(F.broadcast(names), "item").groupBy("doc_id", "key", "item_id").agg(F.max("cosine").alias("cosine"), F.max("coverage").alias("coverage"))
-        found.append(common.store(best, "matches"))
-        common.discard(windows)
+                df[r["block"]][r["id"]] = r["n"]
+        for q, d in zip(queries, df):
+            q.weigh(n, d)
+        every = text.mapInArrow(_windows(spark.sparkContext.broadcast(queries)), "doc_id long, key long, block int, start int, place array<int>, ids array<int>")
+        every = common.store(every, "windows")
+        for block, q in enumerate(queries):
+            windows = every.where(f"block = {block}")
+            shared = spark.sparkContext.broadcast((q, latent_space(windows, q).astype(np.float32)))
+            hits = windows.mapInArrow(_matches(shared), "doc_id long, key long, passage int, cosine double, coverage double")
+            names = spark.createDataFrame(list(enumerate(q.items)), f"passage int, item_id {kind}")
+            best = hits.join(F.broadcast(names), "passage").groupBy("doc_id", "key", "item_id").agg(F.max("cosine").alias("cosine"), F.max("coverage").alias("coverage"))
+            found.append(common.store(best, "matches"))
+        common.discard(every)
+    common.discard(passages)
     out = spark.createDataFrame([], schema) if not found else found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out.groupBy("doc_id", "key", "item_id").agg(F.max("cosine").alias("cosine"), F.max("coverage").alias("coverage")) if len(found) > 1 else out
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
