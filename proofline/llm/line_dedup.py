@@ -58,9 +58,10 @@ _ANCHOR = [f"anchor{k}" for k in range(ANCHORS)]
 
 
 class Lines:
-    """The non-blank lines of a group of texts, with their place in the tree."""
+    """The non-blank lines of a group of texts, with their place in the tree; with ``told``, also with what
+    tells them and their documents apart."""
 
-    def __init__(self, g: words.Group):
+    def __init__(self, g: words.Group, told: bool = True):
         raw = g.raw
         self.starts, self.ends, doc = g.cut(words.WHITE, raw)
         breaks = np.concatenate(([0], np.cumsum(raw == 10)))
@@ -81,6 +82,8 @@ class Lines:
         self.hash = words.mix(np.add.reduceat(masked * power, self.first) + self.size.astype(np.uint64))
         head = np.where(place < LEADING, masked * _W[np.minimum(place, LEADING)], np.uint64(0))
         self.leaf = words.mix(np.add.reduceat(head, self.first) + self.size.astype(np.uint64) * _W[5])
+        if not told:
+            return
         # The smallest shingle hash of each line; of a short line, its hash.
         low = words.mix(np.add.reduceat(h * power, self.first) + np.uint64(1))
         if len(h) > 4:
@@ -126,7 +129,7 @@ def _masked(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g in words.groups(b.column("text")):
-                x = Lines(g)
+                x = Lines(g, told=False)
                 if not x.n:
                     continue
                 hit = np.flatnonzero(common.in_filter(bits.value, (x.leaf & np.uint64(common.FILTER_BITS - 1)).astype(np.int64) + 1))
