@@ -107,8 +107,28 @@ def test_topk_is_exact_and_stops_early(spark):
     assert sorted(map(tuple, topk.op1_exact_topk(spark, SF).select("query_id", "rank", "vec_id", "score").collect())) == brute_topk(e, 20)
     x = np.zeros((4096, 8), dtype=np.int64)
     x[:, 0], x[:, 1] = np.arange(4096), np.arange(4096) % 7
-    at, score, read = topk.SortedLists(np.arange(4096), x, 50).search(np.array([50, 1, 0, 0, 0, 0, 0, 0]), 4095, 5)
+    slot = topk.SortedLists.of(np.arange(4096), x, 50)
+    at, score, read = slot.search(np.array([50, 1, 0, 0, 0, 0, 0, 0]), 4095, 5)
     assert at.tolist() == [4094, 4093, 4092, 4091, 4090] and read < 500
+    assert slot.search(np.array([50, 1, 0, 0, 0, 0, 0, 0]), 0, 5, 50 * 4096)[2] == 0
+
+
+def test_topk_over_waves_of_slots(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SLOT_VECTORS", 16)
+    monkeypatch.setattr(topk, "SLOT_QUERIES", 4)
+    monkeypatch.setattr(topk, "WAVE", 3)
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in np.round(rng.standard_normal(4), 1)]) for i in range(300)] + [(7, [float(i), 1.0, 1.0, 1.0]) for i in range(40)]
+    v = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
+    got = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 20 = 0"), 6).collect()))
+    x = {}
+    for i, e in data:
+        x.setdefault(i, set()).add(tuple(int(np.floor(64 * float(np.float32(y)))) for y in e))
+    want = []
+    for q in range(0, 300, 20):
+        best = sorted((-max(sum(a * b for a, b in zip(s, t)) for s in x[q] for t in x[c]), c) for c in x if c != q)[:6]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert got == sorted(want)
 
 
 def test_topk_odd_vectors(spark):
@@ -128,7 +148,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute_classes(docs):
+def brute_classes(docs, num=85):
     sets = [(i, shingles(t)) for i, t in docs]
     where = defaultdict(set)
     for n, (_, s) in enumerate(sets):
@@ -137,7 +157,7 @@ def brute_classes(docs):
     links = [(i, i) for i, _ in sets]
     for n, (i, s) in enumerate(sets):
         for m, both in Counter(m for g in s for m in where[g] if m < n).items():
-            if 100 * both >= 85 * (len(s) + len(sets[m][1]) - both):
+            if 100 * both >= num * (len(s) + len(sets[m][1]) - both):
                 links.append((i, sets[m][0]))
     return grouped(links)
 
@@ -462,8 +482,8 @@ def test_common_subsequences():
 
 
 def brute_lines(docs, min_docs=10, spread=0.3, constant=0.7):
-    """(doc_id, line_no) of recurring lines. ``docs`` hold different texts; documents count as
-    different if their other lines are."""
+    """(doc_id, line_no) of recurring lines. Documents count as different if their other lines are, and
+    copies of a text count once."""
     mask = lambda t: "<*>" if re.search(r"[0-9@/]", t) else t
     lines = {(i, n): tuple(map(mask, x.split())) for i, t in docs for n, x in enumerate(t.split("\n")) if x.split()}
     leaf = lambda k: (len(k), k[:3])
@@ -474,8 +494,9 @@ def brute_lines(docs, min_docs=10, spread=0.3, constant=0.7):
         if sum(loose) <= (1 - constant) * len(k):
             template[at] = tuple("<*>" if x else t for x, t in zip(loose, k))
     holders = defaultdict(set)
+    texts = dict(docs)
     for (i, _), t in template.items():
-        holders[t].add(i)
+        holders[t].add(texts[i])
     rest = lambda i, k: tuple(sorted(v for (j, _), v in lines.items() if j == i and v != k))
     out = set()
     for at, t in template.items():
@@ -532,24 +553,56 @@ def test_stages_keep_odd_rows_and_columns(spark, odd):
         assert {r["doc_id"] for r in out.collect()} == {r[0] for r in ODD} - ({5} if stage is near_dedup.near_dedup_stage else set())
 
 
-def test_pipeline_stages_take_effect(spark):
+def test_lines_of_the_query_are_those_of_brute_force(spark):
+    docs = [(r["doc_id"], r["text"] or "") for r in rows("documents")]
+    got = {(r["doc_id"], r["line_no"]) for r in line_dedup.op10_template_line_dedup(spark, SF).collect()}
+    assert got == brute_lines(docs) and got
+
+
+def brute_pipeline(docs, score, benchmark):
+    """doc_id and text of what the first four stages leave of ``docs`` (doc_id, text)."""
+    left = {i: t for i, t in docs if score[i] < 0.3}
+    gone = brute_lines(list(left.items()))
+    left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in left.items()}
+    classes = brute_classes(list(left.items()), 80)
+    items = [plain(t) for t in benchmark]
+    return {i: t for i, t in left.items() if classes[i] == i and not any(k in plain(t) for k in items)}
+
+
+def test_pipeline_is_that_of_brute_force(spark):
     import corpus_pipeline as cp
 
-    docs = {r["doc_id"]: r["text"] for r in rows("documents")}
+    docs = [(r["doc_id"], r["text"]) for r in rows("documents")]
+    assert len(set(docs)) > len({t for _, t in docs})  # copies are among them
     score = {r["doc_id"]: r["score"] for r in toxicity.op8_counterfactual_toxicity(spark, SF).collect()}
-    left = {i: t for i, t in docs.items() if score[i] < 0.3}
-    gone = brute_lines(list(left.items())) if len(set(left.values())) == len(left) else None
-    if gone is not None:
-        left = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in left.items()}
-        classes = brute_classes(list(left.items()))
-        items = [plain(r["text"]) for r in rows("benchmark")]
-        left = {i: t for i, t in left.items() if classes[i] == i and not any(k in plain(t) for k in items)}
+    left = brute_pipeline(docs, score, [r["text"] for r in rows("benchmark")])
     got = cp.run(spark, SF).collect()
     enc = packing.encoder("byte_bpe_50k")
-    whole = Counter()
+    whole, by = Counter(), defaultdict(list)
     for r in got:
         whole[r["doc_id"]] += r["length"]
-    if gone is None:
-        assert set(whole) <= set(left)
-    else:
-        assert dict(whole) == {i: len(enc.ids(t)) + 1 for i, t in left.items()}
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert dict(whole) == {i: len(enc.ids(t)) + 1 for i, t in left.items()} and len(left) < len(docs)
+    for v in by.values():
+        v.sort()
+        assert [o for o, _ in v] == [0, *np.cumsum([n for _, n in v])[:-1]] and sum(n for _, n in v) <= 1024
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline as cp
+
+    labels = spark.createDataFrame([(4, 0, 1), (7, 1, 0), (None, 1, 1)], "doc_id long, toxic int, text int")
+    bench = spark.createDataFrame([(1, "an item that is found nowhere at all in these"), (2, None), (None, "")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    for name, docs in (("odd", odd), ("empty", empty)):
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+            df.write.parquet(f"file://{tmp_path}/{name}/{table}.parquet")
+        got = cp.run(spark, f"file://{tmp_path}/{name}").collect()
+        if name == "empty":
+            assert not got
+            continue
+        # The second row of id 4 is the first's copy, 5 is a near copy of them.
+        pieces = Counter(r["doc_id"] for r in got if r["piece"] == 0)
+        assert pieces == {1: 1, 2: 1, 3: 1, 4: 2, 6: 1, 7: 1, None: 1}
+    for table, df in (("documents", odd), ("labels", labels.where("false")), ("benchmark", bench.where("false"))):
+        df.write.parquet(f"file://{tmp_path}/bare/{table}.parquet")
+    assert {r["doc_id"] for r in cp.run(spark, f"file://{tmp_path}/bare").collect()} == {1, 2, 3, 4, 6, 7, None}
