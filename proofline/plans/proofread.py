@@ -70,7 +70,7 @@ def proofread(paras: DataFrame, corrector: Corrector, config: Config = Config(),
     of_para = judged.where("safe").groupBy(*key).agg(F.collect_list(part).alias("edits"))
     ready = paras.select(*key, "text", "runs").join(of_para, key, "left")
     none = F.array().cast(of_para.schema["edits"].dataType)
-    out = apply_edits(ready.withColumn("edits", F.coalesce("edits", none)).withColumn("runs", F.coalesce("runs", F.array().cast(paras.schema["runs"].dataType))), config.engine.highlight)
+    out = apply_edits(ready.withColumn("edits", F.coalesce("edits", none)).withColumn("runs", F.coalesce("runs", F.array().cast(paras.schema["runs"].dataType))), key, config.engine.highlight)
     out = out.withColumn("text_out", F.when(F.size("runs") == 0, F.col("text")).otherwise(F.array_join(F.transform("runs_out", lambda r: r["text"]), "")))
 
     outcome = out.select(*key, F.explode("results").alias("r")).select(*key, "r.*")

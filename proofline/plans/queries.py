@@ -193,7 +193,20 @@ def protect_roundtrip(spark, d):
     return m.select("doc_id", N.unprotect("m.text", "m.entities").alias("text"))
 
 
-@query()
+def _sql_hidden(source: str, name: str, pattern: str) -> str:
+    """The masking of one kind, in SQL: ``t`` with numbers from ``n`` on in place of the matches."""
+    return f"""
+{name} as (
+  select doc_id, array_to_string(list_transform(g, lambda x, i: case when i = 1 then x else '[[ENT_' || (n + i - 2) || ']]' || x end), '') as t, n + len(g) - 1 as n
+  from (select doc_id, regexp_split_to_array(t, '{pattern}') as g, n from {source}))"""
+
+
+@query(rf"""
+with z as (select doc_id, {I.WITH_ENTITIES} as t, 0 as n from documents), {_sql_hidden('z', 'u', N.URL)}, {_sql_hidden('u', 'e', N.EMAIL.replace('0-9-.]', '0-9.-]'))}, {_sql_hidden('e', 'p', N.PATH)}, {_sql_hidden('p', 'h', N.HONORIFIC)},
+w as (select doc_id, n, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') as ws from h),
+k as (select *, list_filter(list_transform(ws, lambda x, i: case when regexp_full_match(x, '{N.CAPITALS}') or lower(x) in ({_BRAND_LIST}) then i end), lambda i: i is not null) as idx from w)
+select doc_id, array_to_string(list_transform(ws, lambda x, i: case when list_contains(idx, i) then '[[ENT_' || (n + list_position(idx, i) - 1) || ']]' else x end), '') as masked, n + len(idx) as n_entities from k
+""")
 def protect_entities(spark, d):
     m = I.documents(spark, d).withColumn("m", N.protect(I.with_entities()))
     return m.select("doc_id", F.col("m.text").alias("masked"), F.size("m.entities").alias("n_entities"))
@@ -466,7 +479,7 @@ def apply_edits(spark, d):
     every = F.sequence(F.lit(0), F.size("ws") - 1)
     one = F.transform(F.filter(every, lambda i: i % 4 == 0), lambda i: _word_edit(i, "replace", F.get("at", i)["start"], end(i), F.concat(F.get("ws", i), F.lit("x"))))
     two = F.transform(F.filter(every, lambda i: (i % 4 == 2) & (i + 1 < F.size("ws"))), lambda i: _word_edit(i, "replace", F.get("at", i)["start"], end(i + 1), F.lit("y")))
-    out = A.apply_edits(p.withColumn("edits", F.concat(one, two)).drop("at"))
+    out = A.apply_edits(p.withColumn("edits", F.concat(one, two)).drop("at"), ["doc_id", "para_idx"])
     applied = lambda v: F.size(F.filter("results", lambda r: r["applied"] == F.lit(v)))
     return out.select("doc_id", "para_idx", F.array_join(F.transform("runs_out", lambda r: r["text"]), "").alias("text_out"), applied(True).alias("n_applied"), applied(False).alias("n_skipped"), F.size("runs_out").alias("n_runs"))
 

@@ -14,7 +14,6 @@ EDITS = ArrayType(
         StructField("corr_text", StringType()),
     ])
 )
-MASKED = StructType([StructField("text", StringType()), StructField("entities", ArrayType(StructType([StructField("id", IntegerType()), StructField("text", StringType())])))])
 VERDICT = "struct<is_safe:boolean,reason:string,edit_ratio:double,length_delta:double>"
 FEEDBACK = (
     "document_id string, paragraph_id int, edit_id string, model_mode string, original_text string, corrected_text string, "

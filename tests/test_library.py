@@ -189,9 +189,9 @@ CASES = {
 @pytest.mark.parametrize("case", CASES)
 def test_run_writer(spark, case):
     runs, edits, want, reasons = CASES[case]
-    data = [([run(i, t, b) for i, (t, b) in enumerate(runs)], [(n, "replace", s, e, "", c) for n, (s, e, c) in enumerate(edits)])]
-    df = spark.createDataFrame(data, f"runs array<{RUN}>, edits array<struct<edit_no:int,type:string,local_start:int,local_end:int,orig_text:string,corr_text:string>>")
-    r = A.apply_edits(df).first()
+    data = [(1, [run(i, t, b) for i, (t, b) in enumerate(runs)], [(n, "replace", s, e, "", c) for n, (s, e, c) in enumerate(edits)])]
+    df = spark.createDataFrame(data, f"k int, runs array<{RUN}>, edits array<struct<edit_no:int,type:string,local_start:int,local_end:int,orig_text:string,corr_text:string>>")
+    r = A.apply_edits(df, ["k"]).first()
     assert [(x["text"], x["bold"], x["color"]) for x in r["runs_out"]] == want
     assert [x["skip_reason"] for x in sorted(r["results"], key=lambda x: x["edit_no"])] == reasons
     assert all(x["applied"] == (x["skip_reason"] is None) for x in r["results"])
