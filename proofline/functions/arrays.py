@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .text import Text, col
 
-BLOCK = 256
+BLOCK = 32
 
 
 def _blocks(values: Column) -> Column:

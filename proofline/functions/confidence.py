@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,17 @@ def confidence(original: Text, corrected: Text, changes: Text, categories: Text)
     light = F.size(F.array_except(kinds, F.array(*[F.lit(k) for k in LIGHT]))) == 0
     per_word = F.least(F.lit(0.3), 0.3 * n / F.greatest(F.lit(1), word_count(a)))
     apart = F.abs(F.length(a) - F.length(b))
+    only = lambda x: F.regexp_replace(x, rf"[^{re.escape(''.join(PAIRED))}]", "")
     count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    unpaired = F.lit(False)
-    for c in PAIRED:
-        unpaired = unpaired | (count(a, c) != count(b, c))
+
+    def apart_by(m: Column) -> Column:
+        """Mostly neither text has any, or both the same."""
+        some = F.lit(False)
+        for c in PAIRED:
+            some = some | (count(m["a"], c) != count(m["b"], c))
+        return F.when(m["a"] == m["b"], F.lit(False)).otherwise(some)
+
+    unpaired = F.get(F.transform(F.array(F.struct(only(a).alias("a"), only(b).alias("b"))), apart_by), 0)
     score = (
         F.lit(1.0)
         - F.when(light, F.least(F.lit(0.1), 0.01 * n)).otherwise(per_word)

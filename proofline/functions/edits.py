@@ -15,6 +15,7 @@ from .text import Text, col, strip, word_count, words
 
 #: ASCII punctuation and white space only, or nothing.
 _MARKS_ONLY = r"^(?:[!-/:-@\[-`{-~]|(?U:\s))*$"
+_FEW = "".join(map(chr, range(0x21, 0x7F)))
 
 
 def _bound(value: Column, body) -> Column:
@@ -36,11 +37,18 @@ def length_delta(original: Text, corrected: Text) -> Column:
     return F.abs(F.length(col(corrected)) - n) / F.greatest(F.lit(1), n)
 
 
+def _letter(place: Column) -> Column:
+    """A character of its own for each place from 1: of a short list where that has it, else the code
+    point so far beyond it, leaving out the surrogates (up to a million)."""
+    far = place + 0x4DFF
+    code = F.when(far < 0xD800, far).otherwise(far + 0x800)
+    return F.when(place <= len(_FEW), F.substring(F.lit(_FEW), place.cast("int"), F.lit(1))).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def _distance(a: Column, b: Column) -> Column:
     """Of two word lists. Each distinct word becomes one character, so the built-in distance of
-    strings does it (for up to 35,000 distinct words)."""
-    letter = lambda known: lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4DFF), 4, "0")), "UTF-16BE")
-    coded = lambda ws, known: F.array_join(F.transform(ws, letter(known)), "")
+    strings does it."""
+    coded = lambda ws, known: F.array_join(F.transform(ws, lambda w: _letter(F.array_position(known, w))), "")
     return _bound(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(coded(a, known), coded(b, known)))
 
 

@@ -38,7 +38,8 @@ def is_blank(c: Text) -> Column:
 
 
 def words(c: Text) -> Column:
-    return F.filter(F.split(col(c), r"(?U)\s+"), lambda w: w != "")
+    """Without a lambda, so that equal calls in one projection are computed once."""
+    return F.array_remove(F.split(col(c), r"(?U)\s+"), F.lit(""))
 
 
 def word_count(c: Text) -> Column:
@@ -59,11 +60,33 @@ def normalize_all(c: Text) -> Column:
     return normalize_punctuation_spacing(normalize_spaces(c))
 
 
+def _ranges(codes: list[int]) -> str:
+    """A character class of ascending code points, as ranges."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in out)
+
+
+#: What composition may change: marks, vowels and finals of Hangul, and characters that are not their own composition.
+_OWN = [c for lo, hi in ((0x80, 0x10000), (0x1D100, 0x1D200), (0x2F800, 0x2FA20)) for c in range(lo, hi) if not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFC", chr(c))]
+_MAY_CHANGE = rf"[\p{{M}}\x{{1160}}-\x{{11ff}}{_ranges(_OWN)}]"
+
+
 @pandas_udf(StringType())
-def nfc(c: pd.Series) -> pd.Series:
+def _composed(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def nfc(c: str) -> Column:
+    """Of a column (by name, as it is used three times); only texts that composition may change go to
+    Python."""
+    return F.coalesce(_composed(F.when(F.col(c).rlike(_MAY_CHANGE), F.col(c))), F.col(c))
+
+
 @pandas_udf(StringType())
 def strip_marks(c: pd.Series) -> pd.Series:
     """Any script: without combining marks, in lower case."""

@@ -18,8 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table for each core below which it is dealt to all cores.
+PER_CORE = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it is small: its files may be a single row group, which one task reads
+    and then does all the work on. Larger tables have splits enough and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * PER_CORE else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 # Spacing

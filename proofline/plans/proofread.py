@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from ..operators import blocks as B
 from ..operators.apply import apply_edits, edits_to_paragraphs
 from ..operators.correct import Corrector, correct
 from ..operators.report import change_stats, report_changes, review_edits
+from ..sources.workspace import discard, store
 
 
 @dataclass
@@ -34,16 +34,15 @@ class Result:
     kept: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        """Drop what is kept between the results; it can be computed again if an executor goes."""
-        for df in self.kept:
-            df.unpersist()
+        """Delete the tables that the results are computed from."""
+        discard(*self.kept)
 
 
 def proofread(paras: DataFrame, corrector: Corrector, config: Config = Config(), cache: DataFrame | None = None) -> Result:
     """``paras``: doc_id, para_idx, section, style, text, runs. Texts are composed (NFC) first, so that
     places in a block and in its paragraphs agree."""
     paras = B.drop_blank(paras.withColumn("text", nfc("text")))
-    placed = B.with_places(B.with_blocks(paras, config.engine.merge_mode)).persist(StorageLevel.DISK_ONLY)
+    placed = store(B.with_places(B.with_blocks(paras, config.engine.merge_mode)), "placed")
     blocks = B.block_texts(placed)
 
     masked = blocks.withColumn("masked", protect(normalize_all("text")))
@@ -53,9 +52,11 @@ def proofread(paras: DataFrame, corrector: Corrector, config: Config = Config(),
     # Chunks leave no gaps but a blank rest: the corrected block is its corrected chunks in order.
     whole = done.groupBy("doc_id", "block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "corrected"))), lambda c: c["corrected"]), "").alias("t"), F.max("end").alias("covered"))
     fixed = masked.join(whole, ["doc_id", "block_id"]).withColumn("t", F.concat("t", F.substr(F.col("masked.text"), F.col("covered") + 1)))
-    fixed = fixed.withColumn("new", nfc(unprotect("t", "masked.entities"))).where("new != text")
+    fixed = fixed.withColumn("new", unprotect("t", "masked.entities"))
+    fixed = store(fixed.select("doc_id", "block_id", "text", nfc("new").alias("new")), "fixed")
 
-    diffs = fixed.select("doc_id", "block_id", F.posexplode(E.char_diff("text", "new")).alias("edit_no", "e")).where("e.type != 'equal'").select("doc_id", "block_id", "edit_no", "e.*")
+    changed = fixed.where("new != text")
+    diffs = changed.select("doc_id", "block_id", F.posexplode(E.char_diff("text", "new")).alias("edit_no", "e")).where("e.type != 'equal'").select("doc_id", "block_id", "edit_no", "e.*")
     local = edits_to_paragraphs(diffs, placed)
     destructive = (F.col("n_paras") > 1) & F.lit(config.engine.merge_mode != "hard-merge")
     judged = local.withColumn("v", E.verdict("orig_text", "corr_text", config.safety)).withColumn("category", E.category("orig_text", "corr_text"))
@@ -64,7 +65,7 @@ def proofread(paras: DataFrame, corrector: Corrector, config: Config = Config(),
         score = confidence("orig_text", "corr_text", F.lit(1), F.array("category"))
         judged = judged.withColumn("safe", F.col("safe") & (action(score, F.lit(config.engine.mode), config.thresholds) == "apply"))
     key = ["doc_id", "para_idx"]
-    judged = judged.join(placed.select(*key, F.col("section").alias("section_name")), key).persist(StorageLevel.DISK_ONLY)
+    judged = store(judged.join(placed.select(*key, F.col("section").alias("section_name")), key), "judged")
 
     part = F.struct(*[F.col(c) for c in ("edit_no", "type", "local_start", "local_end", "orig_text", "corr_text")])
     of_para = judged.where("safe").groupBy(*key).agg(F.collect_list(part).alias("edits"))
@@ -82,4 +83,4 @@ def proofread(paras: DataFrame, corrector: Corrector, config: Config = Config(),
     # The chunk an edit starts in, by block and place; for the count of changed chunks.
     all_ = all_.withColumn("chunk", F.concat_ws(":", "block_id", "para_idx"))
     stats = change_stats(blocks, chunks, all_)
-    return Result(out.select(*key, "text_out", "runs_out", "results"), all_, review_edits(all_), report_changes(all_), stats, new_cache, (placed, judged))
+    return Result(out.select(*key, "text_out", "runs_out", "results"), all_, review_edits(all_), report_changes(all_), stats, new_cache, (placed, fixed, judged))

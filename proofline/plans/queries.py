@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import LEXICON, Config, Hybrid
@@ -88,7 +89,7 @@ def strip_marks(spark, d):
 
 @query("select doc_id, nfc_normalize(text || ' e' || chr(769)) as text from documents")
 def nfc(spark, d):
-    return I.documents(spark, d).select("doc_id", T.nfc(F.concat("text", F.lit(" é"))).alias("text"))
+    return I.documents(spark, d).withColumn("text", F.concat("text", F.lit(" é"))).select("doc_id", T.nfc("text").alias("text"))
 
 
 @query(f"select doc_id, len({I.sql_words('text')}) as n_words from documents")
@@ -474,12 +475,15 @@ select doc_id, para_idx, array_to_string(list_transform(ws, lambda w, i: case wh
   len(list_filter(range(0, n - 1), lambda i: i % 4 = 2)) as n_skipped, n + 2 * cast(ceil(n / 4.0) as bigint) - (case when (n - 1) % 4 = 0 then 1 else 0 end) as n_runs from pw
 """)
 def apply_edits(spark, d):
-    p = _para_words(spark, d)
-    end = lambda i: F.get("at", i)["start"] + F.length(F.get("ws", i))
-    every = F.sequence(F.lit(0), F.size("ws") - 1)
-    one = F.transform(F.filter(every, lambda i: i % 4 == 0), lambda i: _word_edit(i, "replace", F.get("at", i)["start"], end(i), F.concat(F.get("ws", i), F.lit("x"))))
-    two = F.transform(F.filter(every, lambda i: (i % 4 == 2) & (i + 1 < F.size("ws"))), lambda i: _word_edit(i, "replace", F.get("at", i)["start"], end(i + 1), F.lit("y")))
-    out = A.apply_edits(p.withColumn("edits", F.concat(one, two)).drop("at"), ["doc_id", "para_idx"])
+    key = ["doc_id", "para_idx"]
+    p = _para_words(spark, d).drop("at")
+    w = p.select(*key, F.size("ws").alias("n"), F.posexplode("ws").alias("i", "w"))
+    order = W.partitionBy(*key).orderBy("i")
+    w = w.withColumn("end", (F.sum(F.length("w") + 1).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1).cast("int")).withColumn("start", F.col("end") - F.length("w"))
+    w = w.withColumn("stop", F.lead("end").over(order)).where("i % 4 = 0 or (i % 4 = 2 and i + 1 < n)")
+    one, two = _word_edit(F.col("i"), "replace", F.col("start"), F.col("end"), F.concat("w", F.lit("x"))), _word_edit(F.col("i"), "replace", F.col("start"), F.col("stop"), F.lit("y"))
+    edits = w.groupBy(*key).agg(F.collect_list(F.when(F.col("i") % 4 == 0, one).otherwise(two)).alias("edits"))
+    out = A.apply_edits(p.join(edits, key), key)
     applied = lambda v: F.size(F.filter("results", lambda r: r["applied"] == F.lit(v)))
     return out.select("doc_id", "para_idx", F.array_join(F.transform("runs_out", lambda r: r["text"]), "").alias("text_out"), applied(True).alias("n_applied"), applied(False).alias("n_skipped"), F.size("runs_out").alias("n_runs"))
 
