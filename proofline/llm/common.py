@@ -29,8 +29,17 @@ HIT = "_proofline_hit"
 _own_dir: str | None = None
 
 
+#: Bytes of a table for each core below which it is dealt to all cores.
+PER_CORE = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one is dealt to all cores, as its files may be a single row group, which one
+    task would read and then do all the work on. Larger tables have splits enough."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * PER_CORE else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -184,7 +184,8 @@ class Ledger:
         found.select("blob", F.explode("found").alias("f")).select("blob", "f.*").write.mode("append").parquet(f"{self.path}/findings")
         scanned.write.mode("append").parquet(f"{self.path}/scanned")
         common.discard(found)
-        return paths.join(self.findings(rules), "blob", "left").select("path", "blob", "found"), scanned
+        # A table, so that the rows of a blob that many paths hold can be split.
+        return paths.join(common.store(self.findings(rules), "findings"), "blob", "left").select("path", "blob", "found"), scanned
 
 
 def _merged(found: DataFrame, todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
