@@ -30,6 +30,8 @@ class Engine:
     highlight: bool = True
     merge_mode: str = "soft-merge"
     apply_confidence_gate: bool = False
+    #: Carried for settings files that have it; no revision marks are written.
+    track_changes: bool = False
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,7 @@ class Hybrid:
 
 @dataclass(frozen=True)
 class Config:
+    model: str | None = None
     max_words: int = 256
     batch_size: int = 4
     thresholds: Thresholds = field(default_factory=Thresholds)
@@ -60,9 +63,9 @@ class Config:
         lexicon = lambda d: {"lexicon": tuple(d["user_lexicon"])} if "user_lexicon" in d else {}
         return dataclasses.replace(
             base,
-            **pick(model, max_words="max_length", batch_size="batch_size"),
+            **pick(model, model="name", max_words="max_length", batch_size="batch_size"),
             thresholds=dataclasses.replace(base.thresholds, **pick(conf, safe="safe_threshold", review="review_threshold", aggressive="aggressive_threshold")),
-            engine=dataclasses.replace(base.engine, **pick(engine, mode="mode", highlight="highlight_fallback", merge_mode="merge_mode")),
+            engine=dataclasses.replace(base.engine, **pick(engine, mode="mode", highlight="highlight_fallback", merge_mode="merge_mode", track_changes="track_changes")),
             safety=dataclasses.replace(base.safety, **pick(diff, edit_ratio="edit_ratio", length_delta_ratio="length_delta_ratio"), **lexicon(diff)),
             hybrid=dataclasses.replace(base.hybrid, **pick(hybrid, confidence_threshold="confidence_threshold"), **lexicon(hybrid)),
         )

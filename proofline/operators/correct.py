@@ -18,6 +18,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import align_trailing_punctuation, bullet, has_letter, is_blank, nfc, restore_whitespace, without_bullet
 from ..schemas import CACHE
+from ..sources.workspace import store
 
 log = logging.getLogger("proofline")
 
@@ -48,6 +49,7 @@ class DecodingSweep:
     cached results. ``make`` builds a corrector from a setting."""
 
     make: object
+    #: The settings that are compared.
     settings: tuple[dict, ...] = (
         {"num_beams": 1},
         {"num_beams": 2, "repetition_penalty": 1.05},
@@ -139,14 +141,25 @@ def with_sources(chunks: DataFrame, text: str = "text") -> DataFrame:
     return c.withColumn("source", F.when(~is_blank("_s") & has_letter("_s"), F.col("_s"))).drop("_s")
 
 
+def cache_split(found: DataFrame, cache: DataFrame | None, corrector: str) -> tuple[DataFrame, DataFrame]:
+    """Of distinct sources in ``found``: those the cache has for this corrector (source, corrected), and
+    those it lacks (source)."""
+    asked = found.where("source is not null").select("source").distinct()
+    cache = cache if cache is not None else found.sparkSession.createDataFrame([], CACHE)
+    known = cache.where(F.col("corrector") == corrector).select("source", "corrected").dropDuplicates(["source"])
+    return asked.join(known, "source"), asked.join(known, "source", "left_anti")
+
+
 def correct(chunks: DataFrame, corrector: Corrector, cache: DataFrame | None = None, text: str = "text", batch_size: int = 4) -> tuple[DataFrame, DataFrame]:
-    """``chunks`` with ``corrected``, and the rows to append to the cache (corrector, source,
-    corrected). Each distinct text that the cache lacks is corrected once; failures are not cached."""
+    """``chunks`` with ``corrected``, and the rows to append to the cache (corrector, source, corrected), a
+    stored table. Each distinct text that the cache lacks is corrected once; failures are not cached. A
+    corrector with ``correct_table`` gets all texts as a table, others get batches."""
     found = with_sources(chunks, text)
-    asked = found.where("source is not null").select("source").distinct()
-    known = (cache if cache is not None else chunks.sparkSession.createDataFrame([], CACHE)).where(F.col("corrector") == corrector.name).select("source", "corrected").dropDuplicates(["source"])
-    fresh = asked.join(known, "source", "left_anti").mapInPandas(_run(corrector, batch_size), "source string, raw string")
-    fresh = fresh.where("raw is not null").withColumn("corrected", restore_capitalization("source", align_trailing_punctuation("source", "raw"))).select("source", "corrected")
-    done = found.join(known.unionByName(fresh), "source", "left")
+    known, missing = cache_split(found, cache, corrector.name)
+    whole = getattr(corrector, "correct_table", None)
+    raw = whole(missing) if whole else missing.mapInPandas(_run(corrector, batch_size), "source string, raw string")
+    fresh = raw.where("raw is not null").withColumn("corrected", restore_capitalization("source", align_trailing_punctuation("source", "raw"))).select(F.lit(corrector.name).alias("corrector"), "source", "corrected")
+    fresh = store(fresh, "corrections")
+    done = found.join(known.unionByName(fresh.select("source", "corrected")), "source", "left")
     out = F.when(F.col("source").isNull(), F.col("_nfc")).when(F.col("corrected").isNull(), F.col(text)).otherwise(restore_whitespace(text, F.concat("bullet", F.col("corrected"))))
-    return done.withColumn("corrected", out).select(*chunks.columns, "corrected"), fresh.select(F.lit(corrector.name).alias("corrector"), "source", "corrected")
+    return done.withColumn("corrected", out).select(*chunks.columns, "corrected"), fresh

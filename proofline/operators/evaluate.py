@@ -52,11 +52,23 @@ def exemplars(found: DataFrame, n: int = 5) -> DataFrame:
     """The first ``n`` errors of each category: expected edits in order, then unmatched ones. The
     window keeps n rows a task before its shuffle."""
     w = W.partitionBy("category").orderBy("pass", "doc_id", "edit_no")
+    # How errors are named.
     status = F.when(F.col("outcome") == "FN", "FN (Missed)").when(F.col("pass") == 0, "FP (Wrong correction)").otherwise("FP (Unnecessary edit)")
     ranked = found.where("outcome != 'TP'").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
     return ranked.select("category", "place", "original", "expected", "actual", status.alias("status"))
 
 
+def samples(found: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` of each outcome: outcome, place, original, expected, actual."""
+    w = W.partitionBy("outcome").orderBy("pass", "doc_id", "edit_no")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("outcome", "place", "original", "expected", "actual")
+
+
+def blocked(review: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` refused edits."""
+    return review.where("status = 'Rejected'").orderBy("document_id", "paragraph_id", "edit_id").limit(n).select("document_id", "paragraph_id", "original_text", "corrected_text", "reason")
+
+
 def entity_failures(paras: DataFrame, text: str = "text") -> DataFrame:
     """One row: pairs of a paragraph and a brand that it spells another way only."""
     brands = F.array(*[F.lit(b) for b in BRANDS.values()])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +18,7 @@ from ..functions.text import Text, col, is_title, is_upper
 
 #: Marks that count as known words.
 MARKS = ".,!?;:()[]{}\"'<>_-%/\\"
+#: What a token is.
 TOKEN = r"(?U)\[\[ENT_\d+\]\]|[\w']+|[.,!?;:]"
 
 
@@ -72,13 +76,16 @@ def candidates(asked: DataFrame, vocab: DataFrame, settings: Hybrid = Hybrid())
     the least similarity; equal ones in alphabetical order.
 
     A similarity above s needs 2 min(n, m) / (n + m) > s: only words of those lengths meet a token, by
-    an equi-join on the length."""
+    an equi-join on the length; of these, the built-in distance lets few through to Python."""
     least = settings.least_similarity / 100
+    # No similarity above the least without that few edits: a test in the JVM before Python is called.
+    edits = F.floor((1 - least) * (F.col("n") + F.col("m"))).cast("int")
     t = asked.select(F.lower("token").alias("token")).distinct().withColumn("n", F.length("token"))
     lo, hi = F.floor(F.col("n") * least / (2 - least)) + 1, F.ceil(F.col("n") * (2 - least) / least) - 1
     t = t.withColumn("m", F.explode(F.sequence(F.least(lo, hi), hi)))
     v = vocab.select(F.col("syllable").alias("candidate")).withColumn("m", F.length("candidate").cast("bigint"))
-    scored = t.join(v, "m").withColumn("score", similarity("token", "candidate")).where(F.col("score") > settings.least_similarity)
+    near = t.join(v, "m").where(F.call_function("levenshtein", "token", "candidate", edits) >= 0)
+    scored = near.withColumn("score", similarity("token", "candidate")).where(F.col("score") > settings.least_similarity)
     ranked = scored.withColumn("place", F.row_number().over(W.partitionBy("token").orderBy(F.desc("score"), "candidate")))
     return ranked.where(F.col("place") <= settings.top_k).select("token", "candidate", "score", "place")
 
@@ -103,3 +110,25 @@ def hybrid_correct(texts: DataFrame, vocab: DataFrame, scored: DataFrame, settin
     parts = F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda p: p["token"])
     out = new.groupBy("text_id").agg(joined(parts).alias("corrected"))
     return texts.join(out, "text_id", "left").withColumn("corrected", F.coalesce("corrected", F.lit("")))
+
+
+@dataclass
+class HybridCorrector:
+    """Dictionary-led correction of a run's texts, as a corrector that takes them as a table. ``vocab``:
+    syllable; ``scorer`` adds ``probability`` to candidates (token, candidate, place), by default from the
+    counts of the texts' own words."""
+
+    vocab: DataFrame
+    settings: Hybrid = field(default_factory=Hybrid)
+    scorer: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    name: str = "hybrid"
+
+    def correct_table(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (source) with ``raw``, the corrected text."""
+        texts = asked.select(F.col("source").alias("text_id"), F.col("source").alias("text"))
+        spread = texts.select(F.explode(tokens("text")).alias("token"))
+        wrong = suspicious(spread.distinct(), self.vocab, self.settings.lexicon)
+        counts = spread.groupBy(F.lower("token").alias("syllable")).agg(F.count(F.lit(1)).alias("n"))
+        found = candidates(wrong, self.vocab, self.settings)
+        scored = self.scorer(counts, found) if self.scorer else unigram_scores(counts, found)
+        return hybrid_correct(texts, self.vocab, scored, self.settings).select(F.col("text_id").alias("source"), F.col("corrected").alias("raw"))

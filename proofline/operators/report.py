@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import html
+import io
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The columns of the change report.
+CHANGES = ("file_name", "section_name", "paragraph_index", "original_text", "corrected_text", "error_type", "confidence", "action_status", "changed_word_count")
+
 
 def change_stats(blocks: DataFrame, chunks: DataFrame, edits: DataFrame) -> DataFrame:
     """A row per document. ``blocks``: doc_id; ``chunks``: doc_id, words; ``edits``: doc_id, status
@@ -51,29 +58,70 @@ def report_changes(edits: DataFrame) -> DataFrame:
 
 
 def write_reports(stats: DataFrame, changes: DataFrame, path: str) -> None:
-    """CSV with a header, and JSON, by document: no document's report replaces another's."""
+    """CSV with a header, and JSON, as tables of all documents."""
     changes.write.mode("overwrite").option("header", True).csv(f"{path}/report.csv")
-    per = changes.groupBy("file_name").agg(F.collect_list(F.struct(*[c for c in changes.columns if c != "file_name"])).alias("changes"))
+    _by_document(stats, changes).select("file_name", "stats", "changes").write.mode("overwrite").json(f"{path}/report.json")
+
+
+def _by_document(stats: DataFrame, changes: DataFrame) -> DataFrame:
+    own = [c for c in changes.columns if c != "file_name"]
+    per = changes.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", *[c for c in own if c != "paragraph_index"]))).alias("changes"))
     both = stats.withColumn("file_name", F.col("doc_id").cast("string")).join(per, "file_name", "left")
-    both.select("file_name", F.struct(*[c for c in stats.columns if c != "doc_id"]).alias("stats"), F.coalesce("changes", F.array()).alias("changes")).write.mode("overwrite").json(f"{path}/report.json")
+    return both.select("file_name", F.struct(*[c for c in stats.columns if c != "doc_id"]).alias("stats"), F.coalesce("changes", F.array()).alias("changes"))
+
+
+def document_reports(stats: DataFrame, changes: DataFrame) -> DataFrame:
+    """name, content: for each document a page, a CSV file and a JSON file of its own, named after it. A
+    document's changes are gathered in one row."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for name, own, found in zip(b["file_name"], b["stats"], b["changes"]):
+                found = [{"file_name": name, **dict(c)} for c in found]
+                rows.append((f"{name}.report.html", page(name, dict(own), found)))
+                rows.append((f"{name}.report.csv", comma_separated(found)))
+                rows.append((f"{name}.report.json", json.dumps({"file_name": name, "stats": dict(own), "changes": found}, ensure_ascii=False, default=str)))
+            yield pd.DataFrame({"name": [n for n, _ in rows], "content": [c.encode() for _, c in rows]})
+
+    return _by_document(stats, changes).mapInPandas(made, "name string, content binary")
+
+
+def comma_separated(found: list[dict]) -> str:
+    out = io.StringIO()
+    lines = csv.DictWriter(out, CHANGES, extrasaction="ignore")
+    lines.writeheader()
+    lines.writerows(found)
+    return out.getvalue()
+
+
+def page(name: str, stats: dict, found: list[dict]) -> str:
+    """One document's report: its figures as a list of terms, each refused edit as an article."""
+    say = lambda v: html.escape(str(v))
+    figures = "\n".join(f"<dt>{say(k.replace('_', ' '))}</dt><dd>{say(v)}</dd>" for k, v in stats.items())
+    edits = "\n".join(
+        f"<article><h3>Paragraph {say(c['paragraph_index'])} ({say(c['section_name'])})</h3><p><del>{say(c['original_text'])}</del> <ins>{say(c['corrected_text'])}</ins></p><small>{say(c['error_type'])}</small></article>" for c in found
+    )
+    return f"<!doctype html>\n<html lang='vi'>\n<meta charset='utf-8'>\n<title>{say(name)}</title>\n<main>\n<h1>{say(name)}</h1>\n<dl>\n{figures}\n</dl>\n<section>\n{edits or 'No edit was refused.'}\n</section>\n</main>\n</html>\n"
 
 
-def html_report(stats: dict, changes: list[dict]) -> str:
-    """One document's report; both arguments are small."""
-    rows = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in c.values()) + "</tr>" for c in changes)
-    head = "".join(f"<th>{html.escape(k)}</th>" for k in changes[0]) if changes else ""
-    body = f"<table><tr>{head}</tr>{rows}</table>" if changes else "<p>No changes recorded.</p>"
-    return f"<html><head><meta charset='utf-8'></head><body><h1>Report</h1><h2>Statistics</h2><pre>{html.escape(json.dumps(stats, indent=2, ensure_ascii=False))}</pre><h2>Changes</h2>{body}</body></html>"
+def _table(head: tuple[str, ...], rows: list[dict]) -> list[str]:
+    cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
+    return ["| " + " | ".join(head) + " |", "|" + "-|" * len(head), *["| " + " | ".join(cell(r[h]) for h in head) + " |" for r in rows], ""] if rows else ["none", ""]
 
 
-def evaluation_markdown(counted: list[dict], errors: list[dict], rate: dict | None = None) -> str:
-    """Counts, precision and recall by category and a table of errors; all small."""
-    lines = ["# Evaluation", ""]
+def evaluation_markdown(counted: list[dict], errors: list[dict], failures: dict, rate: dict | None = None, blocked: list[dict] | None = None, samples: list[dict] | None = None) -> str:
+    """An evaluation as text; all arguments are small. ``counted``: category, tp, fp, fn, precision, recall, f1;
+    ``failures``: entities, paragraphs; ``rate``: total, rejected, reject_rate."""
+    rounded = [{**c, **{k: f"{c[k]:.2f}" for k in ("precision", "recall", "f1")}} for c in counted]
+    out = ["# How the corrections did", "", *_table(("category", "tp", "fp", "fn", "precision", "recall", "f1"), rounded)]
+    out += [f"Names spelled another way: {failures['entities']}. Paragraphs more or fewer: {failures['paragraphs']}.", ""]
     if rate:
-        lines += [f"**Unsafe-reject rate**: {rate['reject_rate']:.2f}% ({rate['rejected']}/{rate['total']} edits blocked)", ""]
+        out += [f"Of {rate['total']} edits {rate['rejected']} were refused ({rate['reject_rate']:.2f} %).", ""]
     for c in counted:
-        lines += [f"## {c['category'].capitalize()}", f"- TP: {c['tp']}, FP: {c['fp']}, FN: {c['fn']}", f"- Precision: {c['precision']:.2f}", f"- Recall: {c['recall']:.2f}", f"- F1: {c['f1']:.2f}", ""]
-        own = [e for e in errors if e["category"] == c["category"]]
-        if own:
-            lines += ["| Original | Expected | Actual | Status |", "|---|---|---|---|", *[f"| {e['original']} | {e['expected']} | {e['actual']} | {e['status']} |" for e in own], ""]
-    return "\n".join(lines)
+        out += [f"## Errors: {c['category']}", "", *_table(("original", "expected", "actual", "status"), [e for e in errors if e["category"] == c["category"]])]
+    if blocked is not None:
+        out += ["## Refused edits", "", *_table(("original_text", "corrected_text", "reason"), blocked)]
+    for kind in ("TP", "FN", "FP") if samples is not None else ():
+        out += [f"## Samples: {kind}", "", *_table(("original", "expected", "actual"), [s for s in samples if s["outcome"] == kind])]
+    return "\n".join(out)

@@ -42,7 +42,9 @@ def suggested(feedback: DataFrame, default_confidence: float = 0.85) -> DataFram
 
 def fit_model(feedback: DataFrame):
     """A logistic regression with classes in balance: coefficients and predictions (label,
-    prediction, probability)."""
+    prediction, probability). Raises if there is too little to learn from."""
+    if not enough(feedback):
+        raise ValueError(f"needs {LEAST_ROWS} labelled edits of {LEAST_CLASSES} classes at least")
     data = labelled(feedback)
     count = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     n = sum(count.values())

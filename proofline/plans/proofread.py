@@ -83,4 +83,4 @@ def proofread(paras: DataFrame, corrector: Corrector, config: Config = Config(),
     # The chunk an edit starts in, by block and place; for the count of changed chunks.
     all_ = all_.withColumn("chunk", F.concat_ws(":", "block_id", "para_idx"))
     stats = change_stats(blocks, chunks, all_)
-    return Result(out.select(*key, "text_out", "runs_out", "results"), all_, review_edits(all_), report_changes(all_), stats, new_cache, (placed, fixed, judged))
+    return Result(out.select(*key, "text_out", "runs_out", "results"), all_, review_edits(all_), report_changes(all_), stats, new_cache, (placed, fixed, judged, new_cache))

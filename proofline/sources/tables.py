@@ -18,13 +18,22 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return vocabulary(spark.read.text(path))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CACHE).parquet(path)
+    """corrector, source, corrected; empty if there is none yet."""
+    return spark.read.schema(CACHE).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE)
 
 
 def append_cache(rows: DataFrame, path: str) -> None:
-    """New keys only; nothing that is there is written again."""
-    rows.write.mode("append").parquet(path)
+    """New keys only; nothing that is there is written again. ``rows`` is a table of its own, not
+    computed from the cache."""
+    key = ["corrector", "source"]
+    there = read_cache(rows.sparkSession, path)
+    rows.dropDuplicates(key).join(there.select(*key), key, "left_anti").write.mode("append").parquet(path)
 
 
 def import_cache(spark: SparkSession, path: str, corrector: str) -> DataFrame:

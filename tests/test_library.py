@@ -315,3 +315,117 @@ def test_small_files(spark, tmp_path):
     assert set(string.punctuation) >= set(".,!?")
     c = Config.from_mapping({"engine": {"mode": "review"}, "diff_engine": {"edit_ratio": 0.5, "user_lexicon": ["X"]}})
     assert c.engine.mode == "review" and c.safety.edit_ratio == 0.5 and c.safety.lexicon == ("X",) and c.max_words == 256
+
+
+def written(folder, name, texts):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_bytes(docx.build([{"runs": [{"text": t}]} for t in texts]))
+
+
+def test_a_run_writes_documents_and_corrects_nothing_twice(spark, tmp_path, caplog):
+    from proofline.__main__ import main
+
+    written(tmp_path / "in", "a.docx", ["Hôm nay troi đẹp.", "", "toi di hoc."])
+    written(tmp_path / "in", "b.docx", ["mot dong chua het", "troi dep"])
+    (tmp_path / "words.json").write_text(json.dumps({"troi": "trời", "hoc": "học"}))
+    args = ["--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--words", str(tmp_path / "words.json"), "--report", str(tmp_path / "rep"), "--no-track-changes"]
+    main(args)
+    read = lambda n: [p["text"] for p in docx.parse((tmp_path / "out" / n).read_bytes())]
+    assert read("a.docx") == ["Hôm nay trời đẹp.", "", "toi di học."] and read("b.docx") == ["mot dong chua het", "trời dep"]
+    cache = S.read_cache(spark, f"file://{tmp_path}/out/cache.parquet")
+    before = cache.count()
+    assert before > 0
+    page = (tmp_path / "rep" / "a.docx.report.html").read_text()
+    assert "a.docx" in page and "total changes applied" in page and "<script" not in page
+    stats = json.loads((tmp_path / "rep" / "b.docx.report.json").read_text())["stats"]
+    assert stats["total_changes_applied"] == 1 and (tmp_path / "rep" / "b.docx.report.csv").read_text().startswith("file_name,section_name")
+    assert spark.read.json(f"file://{tmp_path}/rep/report.json").count() == 2
+    with caplog.at_level("INFO", "proofline"):
+        main([*args[:2], "--output", str(tmp_path / "out2"), *args[4:], "--cache", str(tmp_path / "out" / "cache.parquet")])
+    assert "0 texts corrected anew" in caplog.text and S.read_cache(spark, f"file://{tmp_path}/out/cache.parquet").count() == before
+    assert [p["text"] for p in docx.parse((tmp_path / "out2" / "a.docx").read_bytes())] == ["Hôm nay trời đẹp.", "", "toi di học."]
+
+
+def test_hybrid_mode_in_a_run(spark, tmp_path):
+    from proofline.__main__ import main
+
+    written(tmp_path / "in", "a.docx", ["Hôm nay trờy rất đẹp.", "trời trời đẹp"])
+    (tmp_path / "vocab.txt").write_text("hôm\nnay\ntrời\nrất\nđẹp\n")
+    main(["--input", str(tmp_path / "in" / "a.docx"), "--output", str(tmp_path / "out"), "--experimental", "--vocabulary", str(tmp_path / "vocab.txt")])
+    assert [p["text"] for p in docx.parse((tmp_path / "out" / "a.docx").read_bytes())] == ["Hôm nay trời rất đẹp.", "trời trời đẹp"]
+    with pytest.raises(SystemExit):
+        main(["--input", "x", "--output", "y", "--experimental"])
+
+
+def test_an_evaluation_of_documents(spark, tmp_path):
+    from proofline.__main__ import main
+
+    written(tmp_path, "in.docx", ["Hom nay troi dep.", "google la hay", "toi di hok"])
+    written(tmp_path, "exp.docx", ["Hôm nay trời đẹp.", "google la hay", "toi di học"])
+    written(tmp_path, "act.docx", ["Hôm nay troi đẹp.", "google la hay lam", "toi di hoc"])
+    review = [{"edit_id": str(i), "document_id": "in.docx", "paragraph_id": i, "original_text": f"a|{i}", "corrected_text": "b", "status": "Rejected" if i < 7 else "Applied", "reason": "x", "edit_ratio": 0.0, "length_delta_ratio": 0.0, "confidence": 0.0, "timestamp": ""} for i in range(10)]
+    (tmp_path / "review.json").write_text(json.dumps(review))
+    main(["evaluate", *[x for k, n in (("input", "in"), ("expected", "exp"), ("actual", "act")) for x in (f"--{k}", str(tmp_path / f"{n}.docx"))], "--review", str(tmp_path / "review.json"), "--output", str(tmp_path / "out")])
+    text = (tmp_path / "out" / "evaluation.md").read_text()
+    # Expected: Hom > Hôm (met), troi dep. > trời đẹp. and hok > học (met by another text); lam is one too many. đ is no accent.
+    assert "| diacritics | 1 | 0 | 0 | 1.00 | 1.00 | 1.00 |" in text and "| spelling | 0 | 3 | 0 | 0.00 | 0.00 | 0.00 |" in text
+    assert "7 were refused (70.00 %)" in text and text.count("| b | x |") == 5 and "Names spelled another way: 1." in text
+    assert "## Samples: TP" in text and "| Hom | Hôm | Hôm |" in text
+
+
+def test_training_and_sweeps(spark, tmp_path):
+    from proofline.__main__ import main
+    from proofline.operators.correct import DecodingSweep
+    from proofline.operators.models import Seq2SeqCorrector, load_corrector
+    from proofline.plans.evaluation import sweep
+
+    names = "document_id,paragraph_id,edit_id,model_mode,original_text,corrected_text,user_suggested_text,user_label,status,reason,edit_ratio,length_delta_ratio,confidence,timestamp"
+    rows = [f"d,{i},{i},hybrid,a,b,,{'Chuẩn' if i % 2 else 'Sai'},Applied,x,{0.1 if i % 2 else 0.5},0.1,0.9,t" for i in range(20)]
+    (tmp_path / "f.csv").write_text("\n".join([names, *rows]))
+    main(["train", "--feedback", str(tmp_path / "f.csv"), "--output", str(tmp_path / "out")])
+    found = json.loads((tmp_path / "out" / "thresholds.json").read_text())
+    assert found["rows"] == 20 and found["weights"]["edit_ratio"] < 0 and found["suggested"]["edit_ratio"] == pytest.approx(0.1) and [r["f1"] for r in found["report"]] == [1.0, 1.0]
+    (tmp_path / "few.csv").write_text("\n".join([names, *rows[:4]]))
+    with pytest.raises(SystemExit, match="10 labelled"):
+        main(["train", "--feedback", str(tmp_path / "few.csv"), "--output", str(tmp_path / "out")])
+    assert len({c.name for c in DecodingSweep(lambda s: load_corrector("some/model", decoding=s)).correctors()}) == 5 and Seq2SeqCorrector("m").decoding == {"num_beams": 2, "repetition_penalty": 1.05}
+    written(tmp_path, "in.docx", ["Hom nay troi dep lam."])
+    written(tmp_path, "exp.docx", ["Hôm nay trời dep lam."])
+    paras = [docx.read_docx(spark, f"file://{tmp_path}/{n}.docx").withColumn("doc_id", F.lit("d")) for n in ("in", "exp")]
+    got = sweep(*paras, [WordCorrector({"troi": "trời"}, "one"), WordCorrector({"troi": "trời", "hom": "hôm"}, "two")])
+    assert [(r["corrector"], r["category"], r["tp"], r["fn"]) for r in got] == [("one", "diacritics", 1, 1), ("two", "diacritics", 2, 0)]
+
+
+def test_a_model_behind_the_protocol(monkeypatch):
+    import sys
+    import types
+
+    from proofline.operators.models import Seq2SeqCorrector
+
+    class Batch(dict):
+        def to(self, device):
+            return self
+
+    class Tokenizer:
+        @classmethod
+        def from_pretrained(cls, name):
+            return cls()
+
+        def __call__(self, texts, **kw):
+            assert kw["max_length"] == 9
+            return Batch(texts=texts)
+
+        def batch_decode(self, out, skip_special_tokens):
+            return out
+
+    class Model(Tokenizer):
+        def to(self, device):
+            assert device == "cuda"
+            return self
+
+        def generate(self, texts, max_new_tokens, **kw):
+            return [f"{t}:{kw['num_beams']}" for t in texts]
+
+    monkeypatch.setitem(sys.modules, "torch", types.SimpleNamespace(cuda=types.SimpleNamespace(is_available=lambda: True)))
+    monkeypatch.setitem(sys.modules, "transformers", types.SimpleNamespace(AutoTokenizer=Tokenizer, AutoModelForSeq2SeqLM=Model))
+    assert Seq2SeqCorrector("m", 9, {"num_beams": 4}).correct(["a", "b"]) == ["a:4", "b:4"]
