@@ -311,8 +311,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many sets' shingles fall in each slot; one result a partition."""
     n = np.zeros(SLOTS, dtype=np.int64)
     for b in batches:
-        for x in b.column("members"):
-            n += np.bincount(_slot(np.frombuffer(x.as_buffer(), dtype=np.uint64)), minlength=SLOTS)
+        if b.num_rows:
+            at, more = np.unique(np.concatenate([_slot(np.frombuffer(x.as_buffer(), dtype=np.uint64)) for x in b.column("members")]), return_counts=True)
+            n[at] += more
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(at // SLOT_ROW), pa.array(at % SLOT_ROW), pa.array(n[at])], names=["row", "slot", "n"])
 
