@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 from ..functions.arrays import running, scan
 from ..functions.text import Text, col, is_blank
 from ..schemas import RUN
+from .intervals import overlapping
 
 RED = "FF0000"
+#: Characters of a stretch in which intervals meet.
+STRETCH = 1024
 
 
 def edits_to_paragraphs(edits: DataFrame, placed: DataFrame) -> DataFrame:
     """Each edit with the first paragraph it overlaps, how many it overlaps, and its place there.
 
     ``edits``: doc_id, block_id, edit_no, orig_start, orig_end, ...; ``placed``: doc_id, block_id,
-    para_idx, start, end. An equi-join on the block with the overlap as its residual; edits that
-    overlap no paragraph vanish."""
+    para_idx, start, end. Edits that overlap no paragraph vanish."""
     p = placed.select("doc_id", "block_id", "para_idx", "start", "end")
-    met = edits.join(p, ["doc_id", "block_id"]).where("orig_start < end and orig_end > start")
+    met = overlapping(edits, p, ["doc_id", "block_id"], ("orig_start", "orig_end"), ("start", "end"), STRETCH)
     own = [c for c in edits.columns if c not in ("doc_id", "block_id", "edit_no")]
     first = F.min_by(F.struct("para_idx", "start", "end"), "para_idx")
     found = met.groupBy("doc_id", "block_id", "edit_no").agg(first.alias("p"), F.count(F.lit(1)).alias("n_paras"), *[F.first(c).alias(c) for c in own])
@@ -41,7 +43,7 @@ def with_run_places(runs: Text) -> Column:
 def edits_to_runs(edits: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """The part of each edit that lies in each run: ``edits`` (keys, edit_no, local_start, local_end)
     against ``runs`` (keys, run_idx, run_start, run_end): run_idx, off_start, off_end."""
-    met = edits.join(runs, keys).where("local_start < local_end and local_start < run_end and local_end > run_start")
+    met = overlapping(edits.where("local_start < local_end"), runs, keys, ("local_start", "local_end"), ("run_start", "run_end"), STRETCH)
     return met.withColumn("off_start", F.greatest(F.lit(0), F.col("local_start") - F.col("run_start"))).withColumn(
         "off_end", F.least(F.col("run_end") - F.col("run_start"), F.col("local_end") - F.col("run_start"))
     )

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.entities import BRANDS
 from ..functions.text import Text, col, remove_accents
+from .intervals import overlapping
+
+#: Words of a stretch in which edits meet.
+STRETCH = 64
 
 
 def accent_only(original: Text, expected: Text) -> Column:
@@ -22,7 +26,7 @@ def outcomes(expected: DataFrame, actual: DataFrame) -> DataFrame:
     with actual. An expected edit meets the first actual one it overlaps; an actual edit can be met by
     several. Edits without width overlap nothing."""
     a = actual.select("doc_id", F.col("edit_no").alias("act_no"), F.col("in_start").alias("a0"), F.col("in_end").alias("a1"), "actual")
-    over = expected.join(a, "doc_id").where("in_start < a1 and a0 < in_end and in_start < in_end and a0 < a1")
+    over = overlapping(expected.where("in_start < in_end"), a.where("a0 < a1"), ["doc_id"], ("in_start", "in_end"), ("a0", "a1"), STRETCH)
     first = over.groupBy("doc_id", "edit_no").agg(F.min_by(F.struct("act_no", "actual"), "act_no").alias("m"))
     met = expected.join(first, ["doc_id", "edit_no"], "left")
     outcome = F.when(F.col("m").isNull(), "FN").when(F.col("m.actual") == F.col("expected"), "TP").otherwise("FP")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ from ..operators import evaluate as V
 from ..operators import hybrid as H
 from ..operators import report as R
 from ..operators import tuning as U
-from ..operators.correct import WordCorrector, correct, with_sources
+from ..operators.correct import WordCorrector, cache_split, correct, with_sources
 from ..schemas import RUN
+from ..sources import docx
+from ..sources import tables as S
 from ..sources.workspace import new_folder
 from ..streaming import directory
 from . import inputs as I
@@ -144,7 +147,10 @@ def letter_gate(spark, d):
     return p.groupBy("doc_id").agg(F.count_if(T.has_letter("x")).alias("n_pass"))
 
 
-@query()
+@query(rf"""
+with {I.PARAGRAPHS} select doc_id, para_idx, array_to_string(list_transform(regexp_extract_all(text, '\p{{L}}+|[^\p{{L}}]+'),
+  lambda w: case when len(w) > 1 and w = upper(w) and w <> lower(w) then w else substr(w, 1, 1) || lower(substr(w, 2)) end), '') as text from paras
+""")
 def capitalization_restore(spark, d):
     from ..operators.correct import restore_capitalization
 
@@ -255,9 +261,21 @@ def split_by_words(spark, d):
 # Paragraphs and blocks
 
 
-@query(f"with {I.SCANNED} select doc_id, para_idx, 'body' as section, text from scanned")
+def _word_files(spark, d):
+    """The documents as Word files."""
+
+    def made(batches):
+        for b in batches:
+            yield pd.DataFrame({"path": [f"/{i}" for i in b["doc_id"]], "content": [docx.build([{"runs": [{"text": x}]} for x in t.split("\n")]) for t in b["text"]]})
+
+    rows = I.documents(spark, d).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text")))
+    return rows.mapInPandas(made, "path string, content binary")
+
+
+@query(f"with {I.SCANNED} select doc_id, para_idx, 'body' as section, 'Normal' as style, text from scanned")
 def paragraph_scan(spark, d):
-    return I.scanned(spark, d).select("doc_id", "para_idx", "section", "text")
+    p = docx.parsed(_word_files(spark, d))
+    return p.select(F.col("doc_id").cast("long").alias("doc_id"), "para_idx", "section", "style", "text")
 
 
 @query(f"with {I.SCANNED} select doc_id, para_idx, text from scanned where regexp_matches(text, '\\S')")
@@ -265,9 +283,12 @@ def paragraph_nonblank(spark, d):
     return B.drop_blank(I.scanned(spark, d)).select("doc_id", "para_idx", "text")
 
 
-@query(f"with {I.SCANNED} select doc_id, count_if(not regexp_matches(text, '\\S'))::bigint as removed from scanned group by doc_id")
+@query(f"with {I.SCANNED} select doc_id, count_if(not regexp_matches(text, '\\S'))::bigint as removed, count_if(regexp_matches(text, '\\S'))::bigint as left_over from scanned group by doc_id")
 def clean_empty_paragraphs(spark, d):
-    return I.scanned(spark, d).groupBy("doc_id").agg(F.count_if(T.is_blank("text")).alias("removed"))
+    cleaned = docx.cleaned(_word_files(spark, d))
+    left = docx.parsed(cleaned.select(F.col("doc_id").alias("path"), "content")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("left_over"))
+    out = cleaned.select("doc_id", "removed").join(left, "doc_id", "left")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "removed", F.coalesce("left_over", F.lit(0)).alias("left_over"))
 
 
 _SCORED = rf"""
@@ -505,12 +526,19 @@ select doc_id, count(c.source) as hits, count(*) - count(c.source) as misses fro
 """)
 def cache_lookup(spark, d):
     s = with_sources(_chunks(spark, d), "x").where("source is not null").select("doc_id", "para_idx", "source")
-    cache = s.where("para_idx % 2 = 0").select("source", F.lit(1).alias("hit")).distinct()
-    met = s.join(cache, "source", "left").groupBy("doc_id").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
-    return met.select("doc_id", "hits", (F.col("n") - F.col("hits")).alias("misses"))
+    cache = s.where("para_idx % 2 = 0").select(F.lit("words").alias("corrector"), "source", F.col("source").alias("corrected"))
+    hits, misses = cache_split(s, cache, "words")
+    known = hits.select("source", F.lit(1).alias("hit")).unionByName(misses.select("source", F.lit(0).alias("hit")))
+    return s.join(known, "source").groupBy("doc_id").agg(F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
 
 
-@query()
+_SAID = "case when w = upper(w) then upper('{0}') else substr(w, 1, 1) || substr('{0}', 2) end"
+
+
+@query(rf"""
+with {I.PARAGRAPHS} select doc_id, para_idx, array_to_string(list_transform(regexp_extract_all({_BULLETED}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'),
+  lambda w: case lower(w) when 'the' then {_SAID.format('thé')} when 'les' then {_SAID.format('lés')} else w end), '') as corrected from paras
+""")
 def correct_chunks(spark, d):
     done, _ = correct(_chunks(spark, d).select("doc_id", "para_idx", F.col("x").alias("text")), WordCorrector({"the": "thé", "les": "lés"}), batch_size=64)
     return done.select("doc_id", "para_idx", "corrected")
@@ -751,11 +779,13 @@ def stream_paragraphs(spark, d):
     return spark.read.parquet(f"{out}/rows").select("doc_id", "para_idx", "text", "sentences", "words")
 
 
-@query("select page_id, url from pages where url like '%=feed'")
+@query("select page_id, path from (select page_id, url || case page_id % 3 when 0 then '.docx' when 1 then '.doc' else '.docx.pdf' end as path from pages) where path like '%.docx'")
 def upload_filter(spark, d):
-    return I.table(spark, d, "pages").where(F.endswith("url", F.lit("=feed"))).select("page_id", "url")
+    m = F.col("page_id") % 3
+    path = F.concat("url", F.when(m == 0, ".docx").when(m == 1, ".doc").otherwise(".docx.pdf"))
+    return S.accepted_uploads(I.table(spark, d, "pages").select("page_id", path.alias("path")))
 
 
-@query("select conv_id, turn, text from conversations order by conv_id desc, turn desc limit 200")
+@query("select conv_id * 1000 + turn as line_no, text as line from conversations order by line_no desc limit 200")
 def last_lines(spark, d):
-    return I.table(spark, d, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(200).select("conv_id", "turn", "text")
+    return S.last_lines(I.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.col("text").alias("line")))

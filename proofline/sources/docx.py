@@ -198,10 +198,25 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """Paragraphs of a document, or of all documents of a folder (not its subfolders), from any file
     system Spark reads; one task a file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+    return parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content"))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Paragraphs of documents given as path and content."""
     return files.mapInPandas(_parsed, PARAGRAPHS)
 
 
+def cleaned(files: DataFrame) -> DataFrame:
+    """Documents (path, content) without their blank body paragraphs: doc_id, content, removed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [without_blank(c) for c in b["content"]]
+            yield pd.DataFrame({"doc_id": [_name(p) for p in b["path"]], "content": [c for c, _ in rows], "removed": [n for _, n in rows]})
+
+    return files.mapInPandas(run, "doc_id string, content binary, removed int")
+
+
 def write_docx(spark: SparkSession, path: str, changed: DataFrame) -> DataFrame:
     """doc_id and content of the documents under ``path``, rebuilt from ``changed`` (doc_id, para_idx,
     runs_out). Documents meet their changed paragraphs by doc_id; both belong to one document."""
