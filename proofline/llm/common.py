@@ -235,7 +235,7 @@ def _settled(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge list (long columns a, b): columns id, component (the
-    smallest id reachable), for ids with an edge. Null ends are dropped.
+    smallest id reachable), for ids with an edge, as a stored table. Null ends are dropped.
 
     Each round leads an id's edges on to the smallest id that their ends lead to, then joins the ends
     of one id by contracting edges inside tasks, CONTRACT at a time, until all edges lead to the smallest
@@ -250,4 +250,6 @@ def components(edges: DataFrame) -> DataFrame:
         now, last = store(_contracted(led), "edges"), now
         discard(last)
     ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("component")), F.struct(F.col("b").alias("id"), F.col("b").alias("component")))).alias("e"))
-    return ends.select("e.*").groupBy("id").agg(F.min("component").alias("component"))
+    out = store(ends.select("e.*").groupBy("id").agg(F.min("component").alias("component")), "components")
+    discard(now)
+    return out

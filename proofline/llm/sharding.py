@@ -1,6 +1,7 @@
 """Sharding by a weighted k-d tree (operator 7), in DataFrame operations only.
 
-The corpus is split in two along its widest metadata dimension, at the place that divides its bytes
+The corpus is split in two along its widest metadata dimension (all have one scale of 15 bits: a size's
+logarithm, a category's place by hash, so categories are told apart before sizes), at the place that divides its bytes
 as the two sides' numbers of shards demand; the halves are split in the same way until each leaf
 holds its target, one shard's bytes. All nodes of a level are split together.
 
@@ -97,16 +98,15 @@ def _split_places(rows: DataFrame, active: list[Node], shards: int, totals: dict
 def tree(thin: DataFrame, keys: list[Column], dims: list[Column], shards: int) -> Node:
     """The tree over ``thin`` rows (size, and what keys and dims use)."""
     root = Node(0, shards)
-    leaves, whole, wide = [root], None, None
+    leaves, whole = [root], None
     while active := [n for n in leaves if n.leaves > 1]:
         spread = [x for i, d in enumerate(dims) for x in (F.min(d).alias(f"a{i}"), F.max(d).alias(f"b{i}"))]
         stats = {r["node"]: r for r in thin.select("*", root.place(keys).alias("at")).groupBy("at.node").agg(F.sum("size").alias("bytes"), *spread).collect()}
         if whole is None:
             whole = stats[0]["bytes"] if stats else 0
-            wide = [max(1, stats[0][f"b{i}"] - stats[0][f"a{i}"]) if stats else 1 for i in range(len(dims))]
         for n in active:
             r = stats.get(n.first)
-            reach = [(r[f"b{i}"] - r[f"a{i}"]) / wide[i] if r else 0 for i in range(len(dims))]
+            reach = [r[f"b{i}"] - r[f"a{i}"] if r else 0 for i in range(len(dims))]
             n.dim = max(range(len(dims)), key=lambda i: (reach[i], -i))
         totals = {n.first: stats[n.first]["bytes"] if n.first in stats else 0 for n in active}
         _split_places(thin.select(root.place(keys).alias("at"), "size").select("at.*", "size"), active, shards, totals, FINE * whole / shards)

@@ -248,5 +248,5 @@ def test_results_leave_no_tables_behind_but_their_own(spark, tmp_path):
     before = there()
     near_dedup.near_duplicates(docs)
     kinds = {os.path.basename(os.path.dirname(f)).rsplit("-", 1)[0] for f in there() - before}
-    assert kinds <= {"near_duplicates", "edges"}
+    assert kinds <= {"near_duplicates", "components"}
     assert packing.pack(docs.where("false")).count() == 0
