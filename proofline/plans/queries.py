@@ -770,11 +770,8 @@ with {I.PARAGRAPHS}, norm as (select doc_id, para_idx, {_NORM} as t from paras w
 select doc_id, para_idx, t as text, len({I.sql_chunks('t')}) as sentences, len({I.sql_words('t')}) as words from norm
 """)
 def stream_paragraphs(spark, d):
-    path, out = f"{d}/documents.parquet", new_folder(spark, "stream")
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-    source = spark.readStream.schema("doc_id long, text string")
-    docs = source.parquet(path) if folder else source.option("pathGlobFilter", "documents.parquet").parquet(d)
+    out = new_folder(spark, "stream")
+    docs = directory.arriving(spark, f"{d}/documents.parquet")
     directory.run_available(directory.normalised(docs, 1 << 20), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("doc_id", "para_idx", "text", "sentences", "words")
 

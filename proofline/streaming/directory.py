@@ -12,8 +12,12 @@ from ..operators.blocks import drop_blank, paragraphs
 
 
 def arriving(spark: SparkSession, path: str, schema: str = "doc_id long, text string") -> DataFrame:
-    """New Parquet files of documents under ``path``."""
-    return spark.readStream.schema(schema).parquet(path)
+    """New Parquet files of documents under the folder ``path``, or of one that is a single file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.readStream.schema(schema)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return source.parquet(path)
+    return source.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
 
 
 def normalised(docs: DataFrame, max_words: int = 256) -> DataFrame:
