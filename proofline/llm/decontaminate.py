@@ -380,16 +380,20 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, item: str) -> DataFrame
         if not queries:
             continue
         df, n = [np.zeros(len(q.vocabulary), dtype=np.int64) for q in queries], 0
-        counted = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(queries)), "block int, id long, n long")
+        asked_for = spark.sparkContext.broadcast(queries)
+        counted = docs.select("text").mapInArrow(_frequencies(asked_for), "block int, id long, n long")
         for r in counted.groupBy("block", "id").agg(F.sum("n").alias("n")).collect():
             if r["id"] < 0:
                 n = r["n"]
             else:
                 df[r["block"]][r["id"]] = r["n"]
+        asked_for.destroy()
         for q, d in zip(queries, df):
             q.weigh(n, d)
-        every = text.mapInArrow(_windows(spark.sparkContext.broadcast(queries)), "doc_id long, key long, block int, start int, place array<int>, ids array<int>")
+        weighed = spark.sparkContext.broadcast(queries)
+        every = text.mapInArrow(_windows(weighed), "doc_id long, key long, block int, start int, place array<int>, ids array<int>")
         every = common.store(every, "windows")
+        weighed.destroy()
         for block, q in enumerate(queries):
             windows = every.where(f"block = {block}")
             shared = spark.sparkContext.broadcast((q, latent_space(windows, q).astype(np.float32)))
@@ -397,6 +401,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, item: str) -> DataFrame
             names = spark.createDataFrame(list(enumerate(q.items)), f"passage int, item_id {kind}")
             best = hits.join(F.broadcast(names), "passage").groupBy("doc_id", "key", "item_id").agg(F.max("cosine").alias("cosine"), F.max("coverage").alias("coverage"))
             found.append(common.store(best, "matches"))
+            shared.destroy()
         common.discard(every)
     common.discard(passages)
     out = spark.createDataFrame([], schema) if not found else found[0]

@@ -196,6 +196,7 @@ def _recurring_lines(docs: DataFrame, min_docs: int, spread: float, constant: fl
     in_docs = of_line.groupBy("id", "rest").agg(F.countDistinct("key").alias("docs"))
     known = common.store(in_docs.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("docs").alias("all")).where(f"n_docs >= {min_docs} and n_docs >= {spread} * all").select("id", "n_docs"), "known")
     out = common.store(of_line.join(known, "id").select("doc_id", "key", "line_no", "template", "n_docs"), "recurring")
+    bits.destroy()
     common.discard(lines, frequent, kept, distinct, made, of_line, known)
     return out
 

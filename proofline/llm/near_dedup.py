@@ -223,7 +223,9 @@ def _sets(need: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     bits = spark.sparkContext.broadcast(common.id_filter(need, "doc"))
     scan = docs.where("doc_id is not null").select("text", common.filter_slot("doc_id").alias("slot"))
     found = scan.mapInArrow(_wanted(k, bits), "rep long, members binary")
-    return common.store(found.join(need, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "members"), "sets")
+    out = common.store(found.join(need, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "members"), "sets")
+    bits.destroy()
+    return out
 
 
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -359,7 +361,9 @@ def _links_between_classes(open_: DataFrame, reps: DataFrame, docs: DataFrame, k
     summed = sets.mapInArrow(_counted, "row long, slot long, n long").groupBy("row", "slot").agg(F.sum("n").alias("n"))
     for r in summed.groupBy("row").applyInArrow(_packed, "row long, counts binary").collect():
         counts[r["row"] * SLOT_ROW : (r["row"] + 1) * SLOT_ROW] = np.frombuffer(r["counts"], dtype=np.uint8)
-    firsts = common.store(sets.mapInArrow(_firsts(spark.sparkContext.broadcast(counts), num, den), "shingle long, rep long").join(texts.select("rep", "comp"), "rep"), "firsts")
+    shared_counts = spark.sparkContext.broadcast(counts)
+    firsts = common.store(sets.mapInArrow(_firsts(shared_counts, num, den), "shingle long, rep long").join(texts.select("rep", "comp"), "rep"), "firsts")
+    shared_counts.destroy()
     shared = common.store(firsts.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("lead")).where("x != y").select("shingle", "lead"), "shared")
     met = firsts.join(shared, "shingle").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     groups = common.components(met)
@@ -404,6 +408,7 @@ def _near_duplicates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     bits = spark.sparkContext.broadcast(common.id_filter(shared, slot=common.hash_slot("key")))
     again = reps.select("rep", "sig").mapInArrow(_index(limit, bits), "key long, rep long")
     met = common.store(again.join(shared, "key"), "met")
+    bits.destroy()
     stars = met.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     first = _links(stars, reps, docs, k, num, den)
 

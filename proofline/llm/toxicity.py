@@ -234,10 +234,11 @@ def _largest(times, n: int) -> float:
 def fit(x: np.ndarray, y: np.ndarray, gram: np.ndarray, copies: int, l2: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic regression on float32 rows with l2 and, over all differences d between a
     counterfactual and its text (``gram``: the sum of d d', ``copies``: their number),
-    penalty * (w d)^2 on average; by accelerated gradient steps."""
+    penalty * (w d)^2 on average; by accelerated gradient steps. ``gram`` is scaled in place."""
     n, k = x.shape
     y = y.astype(np.float32)
-    g = (2 * penalty / max(1, copies)) * gram.astype(np.float32)
+    g = gram
+    g *= np.float32(2 * penalty / max(1, copies))
     top = _largest(lambda v: x.T @ (x @ v), k) / (4 * n) + l2 / n + (_largest(lambda v: g @ v, k) if copies else 0)
     rate, share = np.float32(1 / max(top, 1e-6)), float(y.mean())
     w, vw = np.zeros(k, dtype=np.float32), np.zeros(k, dtype=np.float32)
@@ -287,22 +288,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, identity
     named = counted.where(F.col("feature").isin(*swaps.table.view(np.int64).tolist())).select("feature").collect() if len(swaps.table) else []
     features = np.unique(np.array([r["feature"] for r in [*best, *named]], dtype=np.int64).view(np.uint64))
     with common.text_batches(spark):
-        rows = sample.mapInArrow(_vectors(features, swaps), "copy int, toxic int, words long, f binary, n binary").collect()
+        rows = sample.mapInArrow(_vectors(features, swaps), "copy int, toxic int, words long, f binary, n binary").toArrow()
     k = len(features)
-    vectors, y, gram, copies = [], [], np.zeros((2 * k, 2 * k), dtype=np.float32), 0
-    for r in rows:
-        f = np.frombuffer(r["f"], dtype=np.int32)
-        if r["copy"] == 0:
-            vectors.append(_dense(k, f, np.frombuffer(r["n"], dtype=np.int32), r["words"]))
-            y.append(r["toxic"] == 1)
+    # One array of the bounded sample, filled row by row: the driver holds it once.
+    copy = rows.column("copy").to_numpy()
+    x, y = np.zeros((int((copy == 0).sum()), 2 * k), dtype=np.float32), rows.column("toxic").to_numpy()[copy == 0] == 1
+    gram, copies, at = np.zeros((2 * k, 2 * k), dtype=np.float32), int((copy > 0).sum()), 0
+    for i, (f, n, count) in enumerate(zip(rows.column("f"), rows.column("n"), rows.column("words").to_numpy())):
+        f = np.frombuffer(f.as_buffer(), dtype=np.int32)
+        if copy[i] == 0:
+            x[at] = _dense(k, f, np.frombuffer(n.as_buffer(), dtype=np.int32), int(count))
+            at += 1
         else:
-            d = np.frombuffer(r["n"], dtype=np.float32)
+            d = np.frombuffer(n.as_buffer(), dtype=np.float32)
             gram[np.ix_(f, f)] += np.outer(d, d)
-            copies += 1
     del rows
     if not copies:
         warnings.warn("no identity term occurs in the labelled texts: the counterfactual penalty has nothing to act on", stacklevel=2)
-    w, b = fit(np.array(vectors, dtype=np.float32), np.array(y), gram, copies, L2, penalty, STEPS)
+    w, b = fit(x, y, gram, copies, L2, penalty, STEPS)
     common.discard(sample, counted)
     return Model(features, w[:k], w[k:], b, copies)
 
