@@ -81,6 +81,11 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keep_text_batches(spark: SparkSession) -> None:
+    """The same for what is computed later, for which the setting must stay."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+
+
 @contextmanager
 def text_batches(spark: SparkSession) -> Iterator[None]:
     """Bound the rows of an Arrow batch; without this a batch of very long texts fills a worker. Holds

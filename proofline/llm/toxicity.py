@@ -322,8 +322,10 @@ def scorer(spark: SparkSession, model: Model):
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score THRESHOLD or more go."""
+    """Pipeline stage: documents that score THRESHOLD or more go. They are scored when the result is
+    read, in one pass, so the session keeps its batches of few texts."""
     score = scorer(spark, train(docs, common.table(spark, sf_dir, "labels")))
+    common.keep_text_batches(spark)
     return docs.withColumn(common.HIT, score("text")).where(F.col(common.HIT) < THRESHOLD).select(*docs.columns)
 
 
@@ -331,4 +333,5 @@ def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     score = scorer(spark, train(docs, common.table(spark, sf_dir, "labels")))
     out = docs.select("doc_id", held_out("doc_id").alias("held_out"), score("text").alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    with common.text_batches(spark):
+        return common.store(out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")), "scores")
