@@ -21,6 +21,11 @@ words, and only lines of wider classes are judged by these; others by all other
 line is held is the number of different texts that hold one of its anchors, the smallest hashes
 of its runs of RUN tokens: an edited line of a near copy mostly shares one with the line it was.
 
+*Passages.* A line of LONG tokens or more doesn't recur by chance: LONG_DOCS documents are enough, where the rule above
+leaves it. It must be the same but for its variable fields, and its documents are held to more: what the rule
+above leaves of their other text has as many words as the line, and agrees with that of no other in any
+of HASHES smallest hashes; of those that agree, one counts. SPREAD holds as above.
+
 Results for odd input: null text has no lines; blank lines stay; a document that loses all lines has
 empty text; rows with a null or repeated doc_id are told apart by their text; an empty table gives an
 empty result; other columns are not looked at, and the stage keeps them.
@@ -40,6 +45,8 @@ from . import common, words
 
 LEADING = 3
 MIN_DOCS = 10
+#: Tokens of a line that few documents are enough for, and how few.
+LONG, LONG_DOCS = 20, 3
 SPREAD = 0.3
 CONSTANT = 0.7
 #: Words that tell a document apart; factor between classes of widely held lines.
@@ -55,6 +62,7 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[[*range(0x30, 0x3A), 0x40, 0x2F]] = True
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ANCHOR = [f"anchor{k}" for k in range(ANCHORS)]
+HASHES = ["low", *_ANCHOR]
 
 
 class Lines:
@@ -164,6 +172,44 @@ def _told_apart(lines: DataFrame, kept: DataFrame, min_docs: int) -> DataFrame:
     return out
 
 
+def _passages(text: DataFrame, lines: DataFrame, found: DataFrame, spread: float) -> DataFrame | None:
+    """Of lines of LONG tokens or more that are not ``found``, those that recur: as ``recurring_lines``, a
+    stored table; None where no such line is in LONG_DOCS texts."""
+    spark = text.sparkSession
+    place = found.select("key", "line_no").distinct()
+    long = lines.where(f"size >= {LONG}").select("doc_id", "key", "line_no", "size", "leaf", "line")
+    several = long.groupBy("leaf", "line").agg(F.countDistinct("key").alias("texts")).where(f"texts >= {LONG_DOCS}").select("leaf", "line")
+    cand = common.store(long.join(several, ["leaf", "line"]).join(place, ["key", "line_no"], "left_anti"), "long_lines")
+    if cand.isEmpty():
+        common.discard(cand)
+        return None
+    hit = common.slot_udf(spark, common.id_filter(cand, slot=common.hash_slot("key")))
+    other = lines.select("key", "line_no", "line", "size", *HASHES).where(hit(common.hash_slot("key"))).join(place, ["key", "line_no"], "left_anti")
+    other = common.store(other.drop("line_no").dropDuplicates(["key", "line"]), "other_lines")
+    # The least of all lines but one: the least, or the second where that one has the least.
+    least = other.groupBy("key").agg(F.sum("size").alias("words"), *[F.min(F.struct(h, "line")).alias(f"least_{h}") for h in HASHES])
+    second = other.join(least, "key").groupBy("key").agg(F.first("words").alias("words"), *[F.first(f"least_{h}").alias(f"least_{h}") for h in HASHES], *[F.min(F.when(F.col("line") != F.col(f"least_{h}.line"), F.col(h))).alias(f"second_{h}") for h in HASHES])
+    of_key = common.store(second, "least")
+    rest = F.array(*[F.when(F.col("line") == F.col(f"least_{h}.line"), F.col(f"second_{h}")).otherwise(F.col(f"least_{h}")[h]) for h in HASHES])
+    holders = cand.select("leaf", "line", "key", "size").distinct().join(of_key, "key").select("leaf", "line", "key", (F.col("words") >= 2 * F.col("size")).alias("told"), rest.alias("rest"))
+    holders = common.store(holders, "holders")
+    agree = holders.where("told").select("leaf", "line", "key", F.posexplode("rest").alias("hash", "value")).groupBy("leaf", "line", "hash", "value").agg(F.min("key").alias("lead"))
+    apart = agree.groupBy("leaf", "line", "lead").agg(F.count(F.lit(1)).alias("n")).where(f"n = {len(HASHES)}").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    every = holders.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("all"))
+    known = apart.where(f"n_docs >= {LONG_DOCS}").join(every, ["leaf", "line"]).where(f"n_docs >= {spread} * all").select("leaf", "line", "n_docs")
+    known = common.store(known, "known_long")
+    at = cand.join(known, ["leaf", "line"])
+    one = common.store(at.groupBy("leaf", "line").agg(F.min(F.struct("key", "line_no")).alias("at")).select("leaf", "line", "at.key", "at.line_no"), "shown")
+    hit = common.slot_udf(spark, common.id_filter(one, slot=common.hash_slot("key")))
+    shown = text.where(hit(common.hash_slot("key"))).join(one, "key").select("leaf", "line", F.get(F.split("text", "\n", -1), F.col("line_no")).alias("text"))
+    tokens = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda t: t != "")
+    masked = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("[0-9@/]"), F.lit(FIELD)).otherwise(t)), " ")
+    named = shown.select("leaf", "line", masked.alias("template")).groupBy("leaf", "line").agg(F.min("template").alias("template"))
+    out = common.store(at.join(named, ["leaf", "line"]).select("doc_id", "key", "line_no", "template", "n_docs"), "recurring_long")
+    common.discard(cand, other, of_key, holders, known, one)
+    return out
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = SPREAD, constant: float = CONSTANT) -> DataFrame:
     """Lines of ``docs`` (doc_id, text) whose template recurs: doc_id, key (of the text), line_no
     (from 0), template, n_docs (different documents that hold it), as a stored table."""
@@ -197,8 +243,10 @@ def _recurring_lines(docs: DataFrame, min_docs: int, spread: float, constant: fl
     known = common.store(in_docs.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("docs").alias("all")).where(f"n_docs >= {min_docs} and n_docs >= {spread} * all").select("id", "n_docs"), "known")
     out = common.store(of_line.join(known, "id").select("doc_id", "key", "line_no", "template", "n_docs"), "recurring")
     bits.destroy()
-    common.discard(lines, frequent, kept, distinct, made, of_line, known)
-    return out
+    common.discard(frequent, kept, distinct, made, of_line, known)
+    more = _passages(text, lines, out, spread)
+    common.discard(lines)
+    return out if more is None else out.unionByName(more)
 
 
 def drop_lines(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -236,6 +236,30 @@ def test_lines_of_mere_copies_stay(spark):
     assert found.count() == 0
 
 
+def test_long_lines_recur_in_few_documents(spark):
+    rng = np.random.default_rng(15)
+    long = lambda: " ".join(letters(rng, 2))
+    passage, page, main = long(), [long() for _ in range(8)], long()
+    docs = [(i, "\n".join([*letters(rng, 4), passage, f"{long()} {i}"])) for i in range(3)]
+    docs += [(10 + i, "\n".join([*page, *letters(rng, 3)])) for i in range(4)]  # near copies
+    docs += [(20 + i, "\n".join([letters(rng, 1)[0], main])) for i in range(4)]  # one text under other titles
+    docs += [(30 + i, "\n".join([*letters(rng, 4), "a short line in few places"])) for i in range(5)]
+    docs += [(40 + i, docs[0][1]) for i in range(20)]  # copies
+    docs += [(70 + i, "\n".join([*letters(rng, 4), "see /page/of " + page[0]])) for i in range(2)]
+    found = line_dedup.recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["line_no"]) for r in found} == {(i, 4) for i in [0, 1, 2, *range(40, 60)]}
+    assert {(r["template"], r["n_docs"]) for r in found} == {(passage, 3)}
+
+
+@pytest.mark.parametrize("shared", [5, 10])
+def test_blocks_go_from_documents_of_24_own_words(spark, shared):
+    rng = np.random.default_rng(shared)
+    block = letters(rng, shared)
+    docs = [(i, "\n".join(letters(rng, 2) + block)) for i in range(1000)]
+    found = line_dedup.recurring_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r["doc_id"], r["line_no"]) for r in found.collect()} == {(i, n) for i in range(1000) for n in range(2, 2 + shared)}
+
+
 # Tables
 
 
