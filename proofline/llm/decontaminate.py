@@ -17,8 +17,11 @@ candidate is a match if the longest common subsequence of the passage and the wi
 covers COPY of the passage's words, or PARAPHRASE of them with a cosine of CLOSE and the answer (the
 passage's last words) in order too.
 
-Results for odd input: null texts are empty; items of fewer than LEAST words can't be told from
-chance and match nothing; rows with a null doc_id are never reported; long items are matched by any of
+*Short items.* Items of fewer than LEAST words have too few for that: they match where all their words stand
+in their order with nothing between, by 64-bit hashes of such runs. A fixed-size filter passes the runs
+that meet the items.
+
+Results for odd input: null texts are empty; items without words match nothing; rows with a null doc_id are never reported; long items are matched by any of
 their passages; an empty table on either side gives an empty result; other columns are not looked at.
 """
 
@@ -42,6 +45,7 @@ GATE, REACH, COSINE, CLOSE = 0.4, 0.3, 0.5, 0.6
 COPY, PARAPHRASE = 0.5, 0.4
 #: Words of a block of rows; partial sums added at a time; tasks of a product; windows multiplied at a time.
 ROWS, FAN, TASKS, STEP = 512, 32, 1024, 512
+_RUN = np.random.default_rng(9).integers(1, 1 << 63, LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @dataclass
@@ -117,7 +121,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in words.groups(b.column("text")):
             t = Text(g)
             row, found = [], []
-            for i in np.flatnonzero(t.count >= LEAST):
+            for i in np.flatnonzero(t.count):
                 own = t.hash[t.first[i] : t.first[i + 1]]
                 starts = list(range(0, len(own), WIDTH))
                 if len(starts) > 1 and len(own) - starts[-1] < WIDTH // 4:
@@ -128,6 +132,41 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("item").take(pa.array(row, pa.int64())), pa.array(found, pa.binary())], names=["item", "words"])
 
 
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words, by where they begin."""
+    out = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
+    for j in range(n):
+        out += h[j : j + len(out)] * _RUN[j]
+    return words.mix(out)
+
+
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short items as runs."""
+    for b in batches:
+        found = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in b.column("words")]
+        run = np.array([runs(h, len(h))[0] for h in found], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column("item"), pa.array([len(h) for h in found], pa.int32()), pa.array(run.view(np.int64))], names=["item", "n", "run"])
+
+
+def _runs(lengths: list[int], bits):
+    """The runs of the texts that may be short items, each once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g in words.groups(b.column("text")):
+                t = Text(g)
+                for n in lengths:
+                    h = runs(t.hash, n)
+                    own = t.doc[: len(h)]
+                    at = np.flatnonzero((own == t.doc[n - 1 :][: len(h)]) & common.in_filter(bits.value, (h & np.uint64(common.FILTER_BITS - 1)).astype(np.int64) + 1))
+                    _, once = np.unique(np.stack((own[at].astype(np.uint64), h[at])), axis=1, return_index=True)
+                    at = at[once]
+                    row = pa.array(g.first + own[at])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("key").take(row), pa.array(h[at].view(np.int64))], names=["doc_id", "key", "run"])
+
+    return run
+
+
 def _frequencies(queries):
     """Documents that hold each word, by block; the number of documents as word -1 of the first."""
 
@@ -368,10 +407,21 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, item: str) -> DataFrame
     asked = benchmark.where(F.col(item).isNotNull() & F.col("text").isNotNull()).select(F.col(item).alias("item"), "text").distinct()
     kind = asked.schema["item"].dataType.simpleString()
     passages = common.store(asked.mapInArrow(_passages, f"item {kind}, words binary").distinct(), "passages")
-    blocks = -(-passages.count() // PASSAGES)
-    passages_of = passages.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(max(1, blocks))))
+    few = F.length("words") < 8 * LEAST
+    blocks = -(-passages.where(~few).count() // PASSAGES)
+    passages_of = passages.where(~few).withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(max(1, blocks))))
     schema = f"doc_id long, key long, item_id {kind}, cosine double, coverage double"
     found = []
+    short = passages.where(few)
+    if not short.isEmpty():
+        short = common.store(short.mapInArrow(_short, f"item {kind}, n int, run long"), "short")
+        lengths = sorted(r["n"] for r in short.select("n").distinct().collect())
+        bits = spark.sparkContext.broadcast(common.id_filter(short, slot=common.hash_slot("run")))
+        met = text.mapInArrow(_runs(lengths, bits), "doc_id long, key long, run long").join(short, "run")
+        one = F.lit(1.0)
+        found.append(common.store(met.select("doc_id", "key", F.col("item").alias("item_id"), one.alias("cosine"), one.alias("coverage")).distinct(), "matches"))
+        bits.destroy()
+        common.discard(short)
     for first in range(0, blocks, ROUND):
         here: dict[int, list] = {}
         for r in passages_of.where(F.col("block").between(first, first + ROUND - 1)).orderBy("block", "item", "words").collect():

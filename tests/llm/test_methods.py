@@ -201,6 +201,20 @@ def test_long_items_many_passages_and_paraphrases(spark, monkeypatch):
     assert not got - set.union(*want.values())
 
 
+def test_short_items_match_their_exact_words(spark):
+    docs = [(1, "well, the Capital of France! and so on"), (2, "of the capital in France"), (3, "capital of"), (4, "France is"), (5, "a France"), (6, None), (None, "the capital of france"), (7, "the capital of\nfrance")]
+    bench = [(1, "The capital of France"), (2, "capital, of"), (3, "..."), (4, "no such words here"), (5, "ends with five words here")]
+    df = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    found = decontaminate.contaminated(df(docs, "doc_id"), df(bench, "item_id")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (7, 1), (1, 2), (3, 2), (7, 2)} and len(found) == 5
+    rng = np.random.default_rng(2)
+    item = " ".join(letters(rng, 3))
+    docs += [(100, f"{letters(rng, 1)[0]} {item}")]
+    found = decontaminate.contaminated(df(docs, "doc_id"), df([*bench, (9, item)], "item_id")).collect()
+    assert {r["doc_id"] for r in found if r["item_id"] == 9} == {100} and len(found) == 6
+    assert {(r["cosine"], r["coverage"]) for r in found if r["item_id"] < 9} == {(1.0, 1.0)}
+
+
 def test_partial_sums_add_up_by_levels(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "FAN", 2)
     rng = np.random.default_rng(1)
