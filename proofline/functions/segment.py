@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bound
 from .text import Text, col, is_blank, word_count
 
 _NONE = "array<string>"
@@ -18,10 +19,14 @@ def _cut(c: Column, after: str) -> Column:
 def word_chunks(c: Text, size: int) -> Column:
     """Pieces of ``size`` words; white space stays with the word before it."""
     c = col(c)
-    tokens = F.regexp_extract_all(c, F.lit(r"(?U)\S+\s*"), F.lit(0))
-    last = F.greatest(F.ceil(F.size(tokens) / F.lit(size)).cast("int") - 1, F.lit(0))
-    piece = lambda i: F.concat(F.when(i == 0, F.regexp_extract(c, r"(?U)^\s*", 0)).otherwise(F.lit("")), F.array_join(F.slice(tokens, i * size + 1, F.lit(size)), ""))
-    return F.when(is_blank(c), F.array().cast(_NONE)).otherwise(F.transform(F.sequence(F.lit(0), last), piece))
+    lead = F.regexp_extract(c, r"(?U)^\s*", 0)
+
+    def pieces(tokens: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(tokens) / F.lit(size)).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(F.when(i == 0, lead).otherwise(F.lit("")), F.array_join(F.slice(tokens, i * size + 1, F.lit(size)), "")))
+
+    # Bound, as inside the lambda all tokens would be found again for every piece.
+    return F.when(is_blank(c), F.array().cast(_NONE)).otherwise(bound(F.regexp_extract_all(c, F.lit(r"(?U)\S+\s*"), F.lit(0)), pieces))
 
 
 def _bounded(pieces: Column, size: int, then) -> Column:
