@@ -9,6 +9,7 @@ from proofline.functions import edits as E
 from proofline.functions import text as T
 from proofline.functions.arrays import bound, running
 from proofline.functions.segment import word_chunks
+from proofline.operators.correct import restored_case
 from proofline.plans import inputs as I
 from proofline.plans.queries import ORACLES, QUERIES
 
@@ -58,6 +59,22 @@ def test_places_on_odd_texts(spark, odd, name):
     same(spark, odd, name)
 
 
+@pytest.mark.parametrize("name", ["apply_edits", "whitespace_restore", "correct_chunks", "cache_lookup", "capitalization_restore", "overlap_guard"])
+def test_paragraphs_on_odd_texts(spark, odd, name):
+    same(spark, odd, name)
+
+
+def test_case_of_words_in_their_places():
+    old, new = "İstanbul The THE tHe " + "The dog THE Cat " * 200, "İstanbul the thé thé " + "thé dog thé cat " * 200
+    assert restored_case(old, new) == "İstanbul The THÉ thé " + "Thé dog THÉ Cat " * 200
+    assert restored_case("A b, C", "a b c") == "A b C" and restored_case("Ha ⅷ NOI", "hà ⅷ nội") == "Hà ⅷ NỘI"
+
+
+def test_case_takes_no_alignment_where_words_stand_in_their_places(monkeypatch):
+    monkeypatch.setattr("proofline.operators.correct._source_places", None)
+    assert restored_case("The Dog", "the dog") == "The Dog"
+
+
 def test_pieces_are_cut_before_they_are_rows(spark, odd):
     assert not re.search(r"explode\w*\(sequence", plan(I.pairs(spark, odd)))
 
@@ -90,3 +107,10 @@ def test_names_are_looked_for_once(spark):
     df = spark.createDataFrame([("at Google now", "at Gogle now"), ("cần thơ", "x"), ("apple", "Apple"), ("none", "x"), ("", "")], "a string, b string")
     assert [r["v"] for r in df.select(E.lexicon_violation("a", "b", ("Google", "Cần Thơ", "Apple")).alias("v")).collect()] == [True, True, False, False, False]
     assert "lower(a" not in analyzed(spark, E.lexicon_violation("t", "t", ()))
+
+
+def test_rows_of_a_union_are_dealt_by_their_paragraph(spark, odd):
+    """Whatever partitions adaptive execution makes of either side."""
+    assert plan(QUERIES["apply_edits"](spark, odd)).count("RepartitionByExpression [doc_id#") >= 2
+    got = QUERIES["apply_edits"](spark, odd)
+    assert got.count() == got.select("doc_id", "para_idx").distinct().count() == 7
