@@ -114,3 +114,16 @@ def test_rows_of_a_union_are_dealt_by_their_paragraph(spark, odd):
     assert plan(QUERIES["apply_edits"](spark, odd)).count("RepartitionByExpression [doc_id#") >= 2
     got = QUERIES["apply_edits"](spark, odd)
     assert got.count() == got.select("doc_id", "para_idx").distinct().count() == 7
+
+
+def test_paragraphs_without_edits_are_not_taken_apart(spark):
+    from proofline.operators import apply as A
+    from proofline.schemas import RUN
+
+    none = (None,) * 8
+    data = [(1, [(0, "ab", *none), (1, "", *none)], []), (2, None, []), (3, [(0, "ab", *none)], [(0, "replace", 0, 1, "a", "x")]), (4, [], [(0, "replace", 0, 1, "a", "x")])]
+    df = spark.createDataFrame(data, f"k int, runs array<{RUN}>, edits array<struct<edit_no:int,type:string,local_start:int,local_end:int,orig_text:string,corr_text:string>>")
+    out = A.apply_edits(df, ["k"])
+    assert {r["k"]: [x["text"] for x in r["runs_out"]] for r in out.collect()} == {1: ["ab", ""], 2: [], 3: ["", "x", "b"], 4: []}
+    assert {r["k"]: len(r["results"]) for r in out.collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+    assert "size(edits" in plan(out)
